@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .media import op5_media
 from .mixing import op1_mixing
 from .sharding import op3_sharding
 from .topk import SQL as OP10_SQL
 from .topk import op10_topk
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_sharding": op3_sharding,
+    "op5_media": op5_media,
     "op6_bpe": op6_bpe,
+    "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
 }
 
