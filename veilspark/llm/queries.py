@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .media import op5_media
 from .mixing import op1_mixing
+from .ngrams import op2_ngram_join
 from .secrets import op4_secrets
 from .sharding import op3_sharding
 from .topk import SQL as OP10_SQL
@@ -13,6 +14,7 @@ from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_ngram_join": op2_ngram_join,
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
     "op5_media": op5_media,
