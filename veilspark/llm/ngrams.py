@@ -16,7 +16,7 @@ from .common import components, stage, text_key
 #: Words of an n-gram, least similarity, recall wanted at it, hash functions at most.
 WORDS, SIMILARITY, RECALL, HASHES = 5, 0.8, 0.9999, 192
 #: Documents and n-grams of one block of a candidate group; n-grams of one task of small groups.
-BLOCK_DOCS, BLOCK_GRAMS, TASK_GRAMS = 1024, 1 << 20, 1 << 21
+BLOCK_DOCS, BLOCK_GRAMS, TASK_GRAMS = 512, 1 << 19, 1 << 18
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHE: dict[str, int] = {}
