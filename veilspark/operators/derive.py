@@ -25,6 +25,17 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns computed once a row.
+
+    A column that a lambda of a later step refers to would otherwise be put into that lambda and
+    computed for each of its elements; a one-element explode keeps it a column.
+    """
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(token, n_docs) of (doc_id, text): distinct tokens, so that matchers work on each once."""
     seen = docs.select("doc_id", F.explode(F.array_distinct(X.tokens(X.fold_letters(F.col("text"))))).alias("token"))
