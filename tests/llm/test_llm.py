@@ -268,20 +268,11 @@ def test_bpe_equals_the_library():
 # --- lines
 
 
-def test_line_dedup_equals_brute_force(spark):
-    rng = random.Random(8)
-    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(300)]
-    base = [[rng.choice(words) for _ in range(rng.randint(5, 90))] for _ in range(30)]
-    docs = []
-    for i in range(80):
-        text = []
-        for _ in range(rng.randint(1, 6)):
-            line = list(rng.choice(base))
-            for _ in range(rng.choice([0, 0, 1, 1, 2])):
-                line[rng.randrange(len(line))] = rng.choice(words)
-            text.append(rng.choice([" ".join(line), " ".join(line).upper() + "!", "short line", ""]))
-        docs.append((i, "\n".join(text)))
-    hashes = dict(spark.createDataFrame([(w,) for w in words] + [("short",), ("line",)], "w string").select("w", F.xxhash64("w")).collect())
+def brute_lines(spark, docs):
+    """Texts by id after line dedup, pair by pair in Python, and whether any two different lines were linked."""
+    places = [(i, p, line_words(x)) for i, t in docs if t is not None for p, x in enumerate(t.split("\n"))]
+    vocabulary = sorted({w for _, _, line in places for w in line})
+    hashes = dict(spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w")).collect())
 
     def code(line):
         chosen = [w for w in line if len(w) >= lines.LONG]
@@ -298,8 +289,7 @@ def test_line_dedup_equals_brute_force(spark):
         return row[-1]
 
     seen, root = {}, {}
-    places = [(i, p, tuple(re.sub(r"[\W_]+", " ", x.lower()).split())) for i, t in docs for p, x in enumerate(t.split("\n"))]
-    for i, p, line in places:
+    for i, p, line in sorted(places, key=lambda x: x[:2]):
         if len(line) >= lines.MIN_WORDS:
             seen.setdefault(line, (i, p))
             root[line] = line
@@ -309,19 +299,45 @@ def test_line_dedup_equals_brute_force(spark):
             x = root[x]
         return x
 
-    codes, keys = {k: code(k) for k in seen}, sorted(seen)
-    for a in keys:
-        for b in keys:
-            if a < b and (codes[a] ^ codes[b]).bit_count() <= lines.DISTANCE and apart(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
-                root[find(b)] = find(a)
+    keys = list(seen)
+    codes = np.array([code(k) for k in keys], np.uint64)
+    for n, a in enumerate(keys):
+        for m in np.flatnonzero(np.bitwise_count(codes[n + 1 :] ^ codes[n]) <= lines.DISTANCE) + n + 1:
+            if apart(a, keys[m]) <= int(0.2 * max(len(a), len(keys[m])) + 1e-9):
+                root[find(keys[m])] = find(a)
     first = {}
     for k in keys:
         first[find(k)] = min(first.get(find(k), (1 << 60, 0)), seen[k])
-    want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (k := tuple(re.sub(r"[\W_]+", " ", x.lower()).split())) not in seen or first[find(k)] == (i, p)) for i, t in docs}
-    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+    def kept(i, t):
+        return "\n".join(x for p, x in enumerate(t.split("\n")) if (k := line_words(x)) not in seen or first[find(k)] == (i, p))
+
+    return {i: kept(i, t) if t is not None else None for i, t in docs}, len({find(k) for k in keys}) < len(keys)
+
+
+def line_words(line):
+    return tuple(w for w in re.split(r"[\W_]+", line.lower()) if w)
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(300)]
+    base = [[rng.choice(words) for _ in range(rng.randint(5, 90))] for _ in range(30)]
+    docs = []
+    for i in range(80):
+        text = []
+        for _ in range(rng.randint(1, 6)):
+            line = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                line[rng.randrange(len(line))] = rng.choice(words)
+            text.append(rng.choice([" ".join(line), " ".join(line).upper() + "!", "short line", ""]))
+        docs.append((i, "\n".join(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want, grouped = brute_lines(spark, docs)
+    got = {r.doc_id: r for r in lines.dedup_lines(frame).collect()}
     assert {i: r.text for i, r in got.items()} == want
     assert all(r.n_lines - r.n_removed == len(want[i].split("\n")) or not want[i] for i, r in got.items())
-    assert len({find(k) for k in keys}) < len(keys)
+    assert grouped
 
 
 # --- chat
@@ -346,6 +362,48 @@ def test_same_rows_as_sql(spark, sf, name):
     assert sorted(map(str, got.select(*columns).toPandas().values.tolist())) == sorted(map(str, want.df()[columns].values.tolist()))
 
 
+# --- pipeline
+
+
+def test_pipeline_stages_equal_brute_force(spark, sf):
+    """Every stage on what its predecessor kept: rescored, paired, compared, counted and encoded in plain Python."""
+    import public_tokenizers as P
+    import tiktoken
+
+    docs, before = spark.read.parquet(f"{sf}/documents.parquet"), None
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        docs = common.stage(stage(spark, docs, sf))
+        after = docs.collect()
+        if name == "toxicity":
+            def score(text):
+                at = [model.place[b] for b in {toxicity.bucket(w) for w in re.findall(r"[^\W_]+", text.lower())} if b in model.place]
+                pairs = sum(float(model.v[i] @ model.v[j]) for n, i in enumerate(at) for j in at[:n])
+                return 1 / (1 + np.exp(-(model.bias + sum(model.w[i] for i in at) + pairs)))
+
+            assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before if score(r.text) < toxicity.THRESHOLD)
+        elif name == "line dedup":
+            want, _ = brute_lines(spark, [(r.doc_id, r.text) for r in before])
+            had = {r.doc_id: r.text for r in before}
+            assert {r.doc_id: r.text for r in after} == {i: t for i, t in want.items() if t or not had[i]}
+        elif name == "n-gram join":
+            assert {r.doc_id for r in after} == {c for c, _ in jaccard_classes([(r.doc_id, r.text) for r in before]).values()}
+        elif name == "source mix":
+            copies, texts = collections.Counter(r.doc_id for r in after), {r.doc_id: r for r in before}
+            assert all(texts[r.doc_id] == r for r in after) and max(copies.values()) <= 2
+            own = mixing.mix(spark.createDataFrame(before, docs.schema)).collect()
+            assert sum(r.copies for r in own) == len(after)
+            for source in {r.source for r in own}:
+                mine = [r for r in own if r.source == source]
+                assert abs(sum(r.copies * r.size // r.rows for r in mine) - mine[0].target) <= max(r.size for r in mine)
+        else:
+            tool = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.codec(P.path("byte_bpe_50k.tiktoken")).ranks, special_tokens={})
+            texts = {r.doc_id: r.text for r in before}
+            assert len(after) == len(before) and all(r.ids == tool.encode_ordinary(texts[r.doc_id]) for r in after)
+            assert all(len(r.offsets) == len(r.ids) == r.n_tokens for r in after)
+
+
 # --- toxicity
 
 
