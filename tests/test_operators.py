@@ -152,3 +152,30 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, "2024-01-01 00:00:10", ["queue"]), (1, "2024-01-01 00:00:20", []), (1, "2024-01-01 01:00:00", [])], "guild long, ts string, issues array<string>").write.json(str(tmp_path / "a"))
     stream = spark.readStream.schema("guild long, ts timestamp, issues array<string>").json(str(tmp_path / "a"))
     assert {(r.reason, r.n) for r in _run(spark, state.alerts(stream), "alrt")} >= {("inspection queue", 1), ("incomplete coverage", 1)}
+
+
+def test_replays(spark, tmp_path):
+    from veilspark.functions.detector import Detector
+    from veilspark.operators import replay as Y
+
+    tool = Detector(["crane", "wager"], frozenset({"hello", "bye"}))
+    cases = spark.createDataFrame(
+        [("a", 0, "1", "hello", 0), ("a", 1, "2", "crane", 1), ("b", 0, "3", "wa", 0), ("b", 1, "4", "ger", 1000), ("c", 0, "5", "wa", 0), ("c", 1, "6", "ger", 900_000), ("c", 2, "7", None, 900_001)],
+        "case string, place int, id string, text string, ms long",
+    )
+    assert {r.case: r.removed for r in Y.replay(cases, tool).collect()} == {"a": ["2"], "b": ["3", "4"], "c": []}
+    held = cases.select(F.lit("me").alias("author"), F.col("id").cast("int").alias("place"), "id", "text").where("id > 2 AND id < 5")
+    assert {r.id: r.hit for r in Y.held_fragments(held, tool).collect()} == {"3": None, "4": "wager"}
+
+    def judge(texts):
+        if "boom" in texts:
+            raise OSError("down")
+        return ["clean"] * len(texts)
+
+    rows = spark.createDataFrame([(1, "x"), (2, "boom")], "id int, text string").coalesce(1)
+    assert sorted(tuple(r) for r in Y.judged(rows, judge, size=1).collect()) == [(1, "clean"), (2, "failed")]
+    Y.report(spark, str(tmp_path / "report"), counts=spark.createDataFrame([(1,)], "n int"))
+    assert spark.read.json(str(tmp_path / "report" / "counts")).first().n == 1
+    (tmp_path / "f.bin").write_bytes(b"12345")
+    assert E.read_files(spark, str(tmp_path / "f.bin"), 4).isEmpty() and E.read_files(spark, str(tmp_path / "f.bin"), 5).first().length == 5
+    assert Y.accuracy(spark.createDataFrame([(0, 1.0, 1, 1), (0, 3.0, 1, 0), (1, 4.0, 1, 1)], "batch int, loss double, label int, predicted int")).first().loss == 3.0

@@ -95,3 +95,29 @@ ORACLES = {
       SELECT message, place, CASE WHEN n > {G.ASSET_LIMIT} THEN 'asset limit' WHEN image AND i > {G.IMAGE_LIMIT} THEN 'image limit' WHEN s > {G.BYTE_LIMIT} THEN 'byte limit exceeds' ELSE 'none' END AS issue FROM w""",
     "page_fetchable": "SELECT page_id, regexp_full_match(lower(url), 'https://(www\\.)?example\\.com([/?#].*)?') AS fetchable FROM pages",
 }
+
+
+def eval_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that conversations with answers worked into them lose: one case an answer, whole, in pieces and clean."""
+    from ..operators import replay as Y
+
+    a = D.benchmark_answers(spark, sf_dir)
+    texts = F.array(F.concat(F.lit("it is "), "answer"), F.lit("hello"), F.substring("answer", 1, 2), F.substring("answer", 3, 3), F.lit("goodbye"))
+    cases = a.select(F.col("answer").alias("case"), F.posexplode(texts).alias("place", "text"))
+    cases = cases.select("case", "place", F.col("place").cast("string").alias("id"), "text", (F.col("place") * 1000).cast("long").alias("ms"))
+    got = Y.replay(cases, R.Detector([r.answer for r in a.orderBy("answer_ord").collect()], frozenset({"hello", "goodbye", "is", "it"})))
+    return got.select("case", F.array_join("removed", ",").alias("removed"))
+
+
+def grey_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most frequent grey of made-up images, one a part: greys from line items."""
+    from ..operators import replay as Y
+
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return Y.grey_peak(items.select(F.col("l_suppkey").alias("image"), (F.col("l_quantity").cast("int") * 5).alias("grey")))
+
+
+QUERIES |= {"eval_replay": eval_replay, "grey_peaks": grey_peaks}
+ORACLES["grey_peaks"] = """WITH c AS (SELECT l_suppkey AS image, CAST(l_quantity AS INT) * 5 AS grey, count(*) AS n FROM lineitem GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY n DESC, grey) AS k FROM c WHERE grey BETWEEN 8 AND 247), t AS (SELECT image, sum(n) AS total FROM c GROUP BY 1)
+  SELECT t.image, CASE WHEN r.n >= 0.01 * total THEN grey END AS peak FROM t LEFT JOIN r ON t.image = r.image AND k = 1"""

@@ -186,3 +186,9 @@ def flatten_trees(rows: DataFrame, keep: list[str]) -> DataFrame:
 
     schema = rows.select(*keep).schema.add("text", "string").add("assets", strings).add("issues", strings)
     return rows.select(*keep, F.col("tree").alias("__tree")).mapInArrow(run, schema)
+
+
+def read_files(spark, path: str, most: int = 32 << 20) -> DataFrame:
+    """(path, length, content) of files of ``most`` bytes or fewer; larger ones are never read, as the filter reaches the listing."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.where(F.col("length") <= most).select("path", "length", "content")
