@@ -69,29 +69,29 @@ def line_initials(lines: Column) -> Column:
     return F.when(F.size(lines) >= 3, F.array_join(F.transform(lines, lambda x: F.regexp_extract(x, "[a-z]", 0)), ""))
 
 
-def grid(lines: Column) -> Column:
-    """Rows of a block: white space removed, cut to the grid's size; empty for fewer than three lines."""
-    rows = F.transform(F.slice(lines, 1, GRID_ROWS), lambda x: F.substring(F.regexp_replace(x, r"(?U)\s+", ""), 1, GRID_COLUMNS))
-    return F.when(F.size(lines) >= 3, rows).otherwise(F.array().cast("array<string>"))
+def grid(docs: DataFrame) -> DataFrame:
+    """(doc_id, cells, width) of (doc_id, lines): a block's rows as characters without white space, cut to the grid's size; none for fewer than three lines."""
+    none = F.array().cast("array<array<string>>")
+    rows = F.transform(F.slice("lines", 1, GRID_ROWS), lambda x: F.split(F.substring(F.regexp_replace(x, r"(?U)\s+", ""), 1, GRID_COLUMNS), ""))
+    cut = D.pinned(docs.select("doc_id", "lines"), cells=F.when(F.size("lines") >= 3, rows).otherwise(none))
+    return D.pinned(cut, width=F.coalesce(F.array_max(F.transform("cells", lambda r: F.size(r))), F.lit(0))).drop("lines")
 
 
-def columns_of(rows: Column) -> Column:
+def columns_of(cells: Column, width: Column) -> Column:
     """The columns of a block, top to bottom."""
-    width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.length(r))), F.lit(0))
-    places = F.when(width > 0, F.sequence(F.lit(1), width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda j: F.array_join(F.transform(rows, lambda r: F.substring(r, j, F.lit(1))), ""))
+    places = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda j: F.array_join(F.transform(cells, lambda r: F.coalesce(F.get(r, j), F.lit(""))), ""))
 
 
-def diagonals_of(rows: Column) -> Column:
+def diagonals_of(cells: Column, width: Column) -> Column:
     """The diagonals of a block that start in its first row or first column, in both directions."""
-    width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.length(r))), F.lit(0))
-    starts = F.when(F.size(rows) >= 3, F.sequence(3 - F.size(rows), F.greatest(width - 2, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    starts = F.when(F.size(cells) >= 3, F.sequence(3 - F.size(cells), F.greatest(width - 2, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
-    def cells(place) -> Column:
-        return F.transform(starts, lambda d: F.array_join(F.transform(rows, lambda r, i: F.when(place(d, i) >= 1, F.substring(r, F.greatest(place(d, i), F.lit(1)), F.lit(1))).otherwise("")), ""))
+    def read(place) -> Column:
+        return F.transform(starts, lambda d: F.array_join(F.transform(cells, lambda r, i: F.coalesce(F.get(r, place(d, i)), F.lit(""))), ""))
 
-    down = cells(lambda d, i: d + i)
-    back = cells(lambda d, i: width + 1 - d - i)
+    down = read(lambda d, i: d + i - 1)
+    back = read(lambda d, i: width - d - i)
     return F.filter(F.array_distinct(F.concat(down, back)), lambda s: F.length(s) >= 3)
 
 

@@ -38,16 +38,16 @@ def line_initial_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of the columns, and number of the diagonals, of every document's block of lines."""
-    rows = D.pinned(_read(spark, sf_dir).select("doc_id", "lines"), rows=S.grid(F.col("lines")))
-    cut = rows.select("doc_id", S.columns_of(F.col("rows")).alias("c"), S.diagonals_of(F.col("rows")).alias("d"))
+    block = S.grid(_read(spark, sf_dir))
+    cut = block.select("doc_id", S.columns_of(F.col("cells"), F.col("width")).alias("c"), S.diagonals_of(F.col("cells"), F.col("width")).alias("d"))
     return cut.select("doc_id", F.size("c").cast("long").alias("n_columns"), F.md5(F.array_join("c", "|").cast("binary")).alias("columns_md5"), F.size("d").cast("long").alias("n_diagonals"))
 
 
 def column_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers down a column or along a diagonal of a document's lines."""
-    rows = D.pinned(_read(spark, sf_dir).select("doc_id", "lines"), rows=S.grid(F.col("lines")))
-    both = F.concat(S.columns_of(F.col("rows")), S.diagonals_of(F.col("rows")))
-    streams = rows.select("doc_id", F.explode(F.transform(both, lambda s: F.regexp_replace(s, "[^a-z]", ""))).alias("stream"))
+    block = S.grid(_read(spark, sf_dir))
+    both = F.concat(S.columns_of(F.col("cells"), F.col("width")), S.diagonals_of(F.col("cells"), F.col("width")))
+    streams = block.select("doc_id", F.explode(F.transform(both, lambda s: F.regexp_replace(s, "[^a-z]", ""))).alias("stream"))
     return S.in_stream(streams, D.benchmark_answers(spark, sf_dir), S.LONG_STREAM)
 
 
