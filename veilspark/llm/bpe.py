@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import slices
+
 # Classes of code points that the pre-tokeniser tells apart. White space before a
 # visible character and a closing apostrophe are told from what follows.
 LETTER, DIGIT, OTHER, SPACE, BLANK, TAIL, QUOTE1, QUOTE2 = range(8)
@@ -280,7 +282,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], ids: bool = True) -> Dat
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
-        for part in parts:
+        for part in slices(parts):
             texts = ["" if t is None else t for t in part.column(part.schema.names.index("__text")).to_pylist()]
             count, sha_ids, sha_bytes, all_ids, all_offsets = [], [], [], [], []
             for lo, hi in batches(texts):

@@ -11,6 +11,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import slices
+
 # Fixed values of the file formats: magic bytes, their place in the file, and the format's name.
 SIGNATURES = [
     (b"RIFF", 0, "riff"), (b"\x89PNG\r\n\x1a\n", 0, "png"), (b"GIF87a", 0, "gif"), (b"GIF89a", 0, "gif"),
@@ -255,7 +257,7 @@ def sniff_media(df: DataFrame, content: str, declared: str | None = None) -> Dat
     kind = pa.list_(pa.struct([("format", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             values = part.column(keep.index(content)).to_pylist()
             said = part.column(keep.index(declared)).to_pylist() if declared else [None] * len(values)
             got = [sniffed(v, d) for v, d in zip(values, said, strict=True)]
@@ -277,7 +279,7 @@ def store_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("media", "binary")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(len(keep)).to_pylist()]
             media = [to_wav(r + bytes(max(1, -(-len(r) // 64)) * 64 - len(r))) for r in raw]
             yield pa.RecordBatch.from_arrays(
@@ -305,7 +307,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for part in parts:
+        for part in slices(parts):
             rows = []
             for r in part.to_pylist():
                 data = r["media"]

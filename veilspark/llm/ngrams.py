@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, stage, text_key
+from .common import components, slices, stage, text_key
 
 #: Words of an n-gram, least similarity, recall wanted at it, hash functions at most.
 WORDS, SIMILARITY, RECALL, HASHES = 5, 0.8, 0.9999, 192
@@ -39,7 +39,7 @@ def grams(text: str | None, n: int = WORDS) -> np.ndarray:
 
     if not text:
         return np.empty(0, np.uint64)
-    if len(_CACHE) > 400_000:
+    if len(_CACHE) > 200_000:
         _CACHE.clear()
     ids = []
     get = _CACHE.get
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         a = rng.integers(1, 1 << 32, k, dtype=np.uint32) | np.uint32(1)
         b = rng.integers(0, 1 << 32, k, dtype=np.uint32)
         mix = rng.integers(1, 1 << 63, (bands, rows), dtype=np.uint64) | np.uint64(1)
-        for part in parts:
+        for part in slices(parts):
             sets = [grams(t, n) for t in part.column(2).to_pylist()]
             got = [_bands(s, a, b, mix) if len(s) else np.empty(0, np.int64) for s in sets]
             ends = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())

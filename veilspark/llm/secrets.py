@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import slices
+
 # The base patterns, in their listed order, with the length that a match must have.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -27,7 +29,7 @@ _TOKEN = re.compile(r"[\w+/=\-]+|[^\w\s]")
 O, B, I = range(3)
 OFFSETS = (0, -1, -2, -3, 1)
 #: Distinct tokens a worker remembers.
-TOKENS = 400_000
+TOKENS = 300_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -318,7 +320,7 @@ def find_secrets(docs: DataFrame, keep: list[str], field: Field | None = None) -
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             found = [[{"start": a, "end": b, "kind": k} for a, b, k in scan(t, field)] for t in part.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found, kind)], names=[*keep, "found"])
 

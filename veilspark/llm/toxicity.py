@@ -11,10 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import slices
+
 #: Most labelled rows that a model is fitted on, and terms it keeps: by evidence, and by frequency.
 SAMPLE, BY_EVIDENCE, BY_FREQUENCY = 9000, 1536, 512
 #: Buckets of the hash, rank of the interactions, distinct words a worker remembers.
-BUCKETS, RANK, WORDS = 1 << 28, 8, 500_000
+BUCKETS, RANK, WORDS = 1 << 28, 8, 200_000
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W_]+")
@@ -161,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     both = docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(own), F.col("__id") == F.col("doc_id"))
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             texts = part.column(1).to_pylist()
             terms = [sorted({bucket(x) for x in _WORD.findall((t or "").lower())}) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(terms, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
@@ -176,7 +178,7 @@ def score(docs: DataFrame, model: Machine, keep: list[str]) -> DataFrame:
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             rows = [model.terms(t) if t else [] for t in part.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(model.scores(rows), pa.float64())], names=[*keep, "score"])
 
