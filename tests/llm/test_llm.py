@@ -340,6 +340,24 @@ def test_line_dedup_equals_brute_force(spark):
     assert grouped
 
 
+def test_line_dedup_finds_changed_lines_of_any_length(spark):
+    """Pairs of just 0.8 by substitutions at random, most of them far apart in SimHash: all up to 23 words, 0.99 of longer ones."""
+    rng, docs, sizes = random.Random(3), [], {}
+    for i in range(600):
+        n = rng.choice([5, 7, 9, 10, 14, 20, 23, 30, 60, 120])
+        line = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        new = list(line)
+        for k in rng.sample(range(n), n // 5):
+            new[k] = f"v{rng.randrange(10**6)}"
+        docs += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(new))]
+        sizes[2 * i + 1] = n
+    docs += [(5000, "alpha beta gamma delta"), (5001, "one two three four five six seven eight"), (5002, "one two x three four five y six seven eight")]
+    removed = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.n_removed}
+    assert not [i for i, n in sizes.items() if n <= 23 and i not in removed]
+    assert sum(i in removed for i, n in sizes.items() if n > 23) >= 0.98 * sum(n > 23 for n in sizes.values())
+    assert 5002 in removed and not any(i % 2 == 0 and i < 5000 or i == 5000 for i in removed)
+
+
 # --- chat
 
 
