@@ -358,6 +358,17 @@ def test_line_dedup_finds_changed_lines_of_any_length(spark):
     assert 5002 in removed and not any(i % 2 == 0 and i < 5000 or i == 5000 for i in removed)
 
 
+def test_line_dedup_takes_short_and_unspaced_lines(spark):
+    han = "今天我们一起去北京看朋友然后回家吃饭睡觉"
+    docs = [
+        (1, "Read more\n\n----\n" + han + "\none two three four"), (2, "read more!\n\n ---- \n***"), (3, "ok\n  \n****\nAll rights reserved 2024"), (4, "OK\n  \n***"),
+        (5, "all rights reserved 2025"), (6, han.replace("北", "南")), (7, "one two three four five"), (8, han[:10]), (9, "สวัสดีครับยินดีต้อนรับทุกคน"), (10, "สวัสดีครับยินดีต้อนรับทุกคม"),
+    ]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = dict(docs) | {2: "\n***", 4: "  ", 6: "", 7: "", 10: ""}
+    assert got == want
+
+
 # --- chat
 
 
