@@ -10,6 +10,7 @@ from veilspark.functions.detector import Detector, leet, near
 from veilspark.functions.phonetic import double_metaphone
 from veilspark.functions.translit import transliterate
 from veilspark.operators import decode, match, scan
+from veilspark.plans import scanning
 
 WORDS = frozenset("help lane the and saw a german wage but add an planet without really easy game win right light is it now friends hello good morning".split())
 TOOL = Detector(
@@ -105,3 +106,11 @@ def test_wildcard_and_typo_need_no_cross_join(spark):
     typos = match.typo(tokens, answers)
     assert {(r.token, r.answer) for r in typos.collect()} == {("cr4ne", "crane"), ("l?ght", "light"), ("carne", "crane"), ("cran", "crane")}
     assert "Cartesian" not in typos._jdf.queryExecution().toString() and "NestedLoop" not in typos._jdf.queryExecution().toString()
+
+
+def test_scan_verdicts_takes_all_answers(spark, tmp_path):
+    names = [a + b + "zqk" for a in "bcd" for b in "aeio"]
+    spark.createDataFrame([(1, " ".join(names))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, f"it is {w}") for i, w in enumerate(names)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.hit for r in scanning.scan_verdicts(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(names))

@@ -14,17 +14,16 @@ from ..sources import store
 from . import matching as Q
 
 
-def _tool(spark: SparkSession, sf_dir: str, answers: int | None = None):
+def _tool(spark: SparkSession, sf_dir: str):
     vocab = Q._vocab(spark, sf_dir)
     words = vocab.where((F.col("n_docs") >= 3) & F.col("token").rlike("^[a-z]+$")).select(F.col("token").alias("word"), "n_docs")
-    chosen = D.benchmark_answers(spark, sf_dir)
-    return R.detector(chosen if answers is None else chosen.where(F.col("answer_ord") <= answers), words)
+    return R.detector(D.benchmark_answers(spark, sf_dir), words)
 
 
 def scan_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First answer, of the first eight, that each document reveals by any rule."""
+    """First answer that each document reveals by any rule, all answers."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return R.scan(docs, _tool(spark, sf_dir, 8), ["doc_id"])
+    return R.scan(docs, _tool(spark, sf_dir), ["doc_id"])
 
 
 def scan_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
