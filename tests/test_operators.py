@@ -179,3 +179,11 @@ def test_replays(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(b"12345")
     assert E.read_files(spark, str(tmp_path / "f.bin"), 4).isEmpty() and E.read_files(spark, str(tmp_path / "f.bin"), 5).first().length == 5
     assert Y.accuracy(spark.createDataFrame([(0, 1.0, 1, 1), (0, 3.0, 1, 0), (1, 4.0, 1, 1)], "batch int, loss double, label int, predicted int")).first().loss == 3.0
+
+
+def test_bootstrap_query_takes_a_thousand_rounds(spark, sf):
+    from veilspark.plans import state
+
+    rows = state._outcomes(spark, sf)
+    got, want, fewer = (sorted(map(tuple, df.collect())) for df in (state.bootstrap_ci(spark, sf), A.bootstrap(rows, 0.8, rounds=1000), A.bootstrap(rows, 0.8, rounds=200)))
+    assert got == want != fewer

@@ -97,7 +97,7 @@ def outcome(intent: Column, caught: Column) -> Column:
     return F.when(innocent & caught, "false_alarm").when(innocent, "passed").when(caught, "caught").otherwise("missed")
 
 
-def bootstrap(rows: DataFrame, threshold: float, rounds: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap(rows: DataFrame, threshold: float, rounds: int = 1000, seed: int = 7) -> DataFrame:
     """(measure, low, high): 95% intervals of recall and false positives by a Poisson bootstrap.
 
     Each row draws one Poisson(1) weight a round from a hash of its id, the round and the seed, so resampling is one pass
