@@ -25,6 +25,13 @@ REVEALS = {
     "w\na\ng\ne\nr": "wager", "%77%61%67%65%72": "wager", "fudqh": "crane", "wxaxgxexr": "wager", "twenty three one seven five eighteen": "wager",
     "really easy lol game and win": "wager", "ｗａｇｅｒ": "wager", "w​a​g​e​r": "wager", "wagering": "wager", "итсcrane": None, "waegr": "wager", "924 37": None,
     "hello friends good morning": None, "": None, None: None,
+    # fancy fonts: strokes, signs of other scripts, whole alphabets of a generator
+    "匚尺卂几乇": "crane", "ςгคภє": "crane", "ᏟᎡᎪᏁᎬ": "crane", "ꁅꂦ山ꍏꁅꀎꋪ 山ꍏꁅꍟꋪ": "wager", "ɭιɠʜт": "light",
+    # ordinals, places and values in turn, emoji of one letter
+    "23rd 1st 7th 5th 18th": "wager", "twenty third first seventh fifth eighteenth": "wager", "letter 1 = 23, letter 2 = 1, letter 3 = 7, letter 4 = 5, letter 5 = 18": "wager",
+    "<:blue_c:2><a:letter_r:1><:a:3><:n_x1:4><:e:5>": "crane",
+    # whole runs of one script joined, loanword sounds
+    "و ا ي ج ر": "wager", "ウェイジャー": "wager", "워거": "wager",
 }
 
 
@@ -73,6 +80,10 @@ def test_scripts():
     assert any("wayjr" in s.variants or "waygr" in s.variants for s in transliterate("وايجر")) and transliterate("وايجر")[0].abjad
     assert transliterate("한국")[0].variants[0].startswith("han")
     assert transliterate("plain words") == []
+    assert "woger" in transliterate("워거")[0].variants and "shark" in transliterate("シャーク")[0].variants and "film" in transliterate("फ़िल्म")[0].variants
+    joined = [s for s in transliterate("да нет, yes да") if s.joined]
+    assert [s.variants[0] for s in joined] == ["danet"]
+    assert transliterate("'' ' ־") == [] and transliterate("ג'ירף") == transliterate("ג׳ירף")
 
 
 def test_batched_scan_keeps_rows(spark):
@@ -89,7 +100,7 @@ def test_native_normalisation(spark):
 
 
 def test_native_decoders_agree_with_the_detector(spark):
-    texts = ["8 15 21 19 5", "&#x77;&#x61;&#x67;", "0x776167", "call 1 then 2 then 3", "nothing here", "", "1 2"]
+    texts = ["8 15 21 19 5", "&#x77;&#x61;&#x67;", "0x776167", "call 1 then 2 then 3", "nothing here", "", "1 2", "8th 15th 21st 19th 5th", "1 8 2 15 3 21 4 19 5 5", "1 8 2 15 4 21"]
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
     reads = F.flatten(F.transform(decode.number_runs(F.col("text")), decode.number_texts))
     for r in frame.select("text", decode.candidates(F.concat(reads, decode.escape_texts(F.col("text")))).alias("c")).collect():
@@ -114,3 +125,20 @@ def test_scan_verdicts_takes_all_answers(spark, tmp_path):
     spark.createDataFrame([(i, f"it is {w}") for i, w in enumerate(names)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.hit for r in scanning.scan_verdicts(spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(names))
+
+
+def test_dictionary_is_whole_but_only_asked_words_travel(spark):
+    answers = spark.createDataFrame([(1, "crane"), (2, "light")], "answer_ord int, answer string")
+    listed = ["crank", "nacre", "fudqh", "lig", "cranes", "zebra", "window", "lit"]
+    words = spark.createDataFrame([(w, 3) for w in [*listed, *(f"zz{i:05d}".translate(str.maketrans("0123456789", "bdfhjkmpqv")) for i in range(3000))]], "word string, n_docs long")
+    tool = scan.detector(answers, words)
+    whole = Detector(["crane", "light"], frozenset(r.word for r in words.collect()))
+    assert {"crank", "nacre"} <= tool.dictionary and len(tool.dictionary) < 100 and "zebra" not in tool.dictionary
+    texts = ["the crank", "a nacre box", "lig ht", "two cranes", "zebra window", "carne", "cr 4 ne", "fu dqh", "fudqh", "its crank but without k add e"]
+    assert [tool.scan(t) for t in texts] == [whole.scan(t) for t in texts]
+
+
+def test_wildcard_takes_answers_of_any_length(spark):
+    answers = spark.createDataFrame([(1, "extraordinarily"), (2, "abc"), (3, "ab")], "answer_ord int, answer string")
+    tokens = spark.createDataFrame([("extr4ordin4rily",), ("???raor????????",), ("e?tra0rdinarilx",), ("a?c",), ("abc-",), ("??c",)], "token string")
+    assert {(r.token, r.answer) for r in match.wildcard(tokens, answers).collect()} == {("extr4ordin4rily", "extraordinarily"), ("???raor????????", "extraordinarily")}

@@ -187,3 +187,26 @@ def test_bootstrap_query_takes_a_thousand_rounds(spark, sf):
     rows = state._outcomes(spark, sf)
     got, want, fewer = (sorted(map(tuple, df.collect())) for df in (state.bootstrap_ci(spark, sf), A.bootstrap(rows, 0.8, rounds=1000), A.bootstrap(rows, 0.8, rounds=200)))
     assert got == want != fewer
+
+
+def test_running_sums_follow_a_global_order(spark):
+    from veilspark.operators import ordered
+
+    values = [None, *(float(i * 7919 % 1009) for i in range(600)), 5.0, 5.0]
+    rows = spark.createDataFrame([(i, v, i % 5) for i, v in enumerate(values)], "id int, v double, n int")
+    got = ordered.running(rows, ordered.part_of(rows, F.col("v")), [F.col("v").asc_nulls_first(), F.col("id")], {"before": F.col("n")}).collect()
+    total = 0
+    for r in sorted(got, key=lambda r: (r.v is not None, r.v or 0, r.id)):
+        assert r.before == total
+        total += r.n
+    assert len(got) == len(values)
+    none = rows.where("id < 0")
+    assert ordered.running(none, ordered.part_of(none, F.col("v")), [F.col("v")], {"before": F.col("n")}).collect() == []
+
+
+def test_threshold_and_curve_on_ties_and_empties(spark):
+    rows = spark.createDataFrame([("benign", s) for s in (0.9, 0.9, 0.5, 0.1)] + [("direct", 0.9), ("direct", 0.2), ("benign", None)], "label string, score double")
+    assert A.threshold_at_budget(rows, 2000).first()[0] == 0.9 and A.threshold_at_budget(rows, 5000).first()[0] == 0.5 and A.threshold_at_budget(rows, 10_000).first()[0] == 0.0
+    points = {r.threshold: (r.recall, r.fp_per_10k) for r in A.curve(rows.where("score is not null")).collect()}
+    assert points[-1.0] == (1.0, 10_000.0) and points[0.9] == (0.0, 0.0) and points[0.5] == (0.5, 5000.0) and points[0.1] == (1.0, 7500.0)
+    assert A.curve(rows.where("score > 1")).count() == 1

@@ -24,9 +24,19 @@ _WHITE = re.compile(r"\s+")
 _MARKUP = [(re.compile(p), re.sub(r"\$(\d)", r"\\\1", new)) for p, new in T.MARKUP]
 _ART = [(re.compile(p), new) for p, new in T.ASCII_ART]
 _HIDDEN = re.compile(T.INVISIBLE)
-_STYLE = str.maketrans(*T.style_folds())
+_STYLE = str.maketrans(dict(zip(*T.style_folds(), strict=True)) | {"ß": "ss"})
 _TURN = str.maketrans(*T.UPSIDE_DOWN)
 _LEET = T.LEET
+_LEET_SIGN = re.compile("[" + re.escape("".join(T.LEET)) + "]")
+_PAIRS = re.compile("|".join(pair for pair, _ in T.LOOKALIKES))
+_ROTATIONS = [str.maketrans(T.ALPHABET, T.ALPHABET[n:] + T.ALPHABET[:n]) for n in range(26)]
+_WITHOUT = {v: str.maketrans("", "", v) for v in ("aeiou", "aeiouy")}
+_LETTER_NAMES = {**T.LETTER_NAMES, **T.NATO}
+_UNITS = T.UNITS | T.ORDINAL_UNITS
+_NUMBERS = {f"{w}th": n for w, n in (_UNITS | T.TENS | T.ORDINAL_TENS).items()} | _UNITS | T.TENS | T.ORDINAL_TENS
+_CODE = re.compile("[.-][. -]*")
+#: Tokens whose verdicts a worker remembers.
+REMEMBERED = 200_000
 
 
 def only_letters(s: str) -> str:
@@ -38,15 +48,22 @@ def undoubled(s: str) -> str:
 
 
 def consonants(s: str, vowels: str = "aeiou") -> str:
-    return s.translate(str.maketrans("", "", vowels))
+    return s.translate(_WITHOUT[vowels])
 
 
 def rotated(s: str, n: int) -> str:
-    return s.translate(str.maketrans(T.ALPHABET, T.ALPHABET[n % 26 :] + T.ALPHABET[: n % 26]))
+    return s.translate(_ROTATIONS[n % 26])
+
+
+def steps(word: str) -> tuple[int, ...]:
+    """Distances of neighbouring letters around the alphabet: words that are Caesar shifts of each other share them."""
+    return tuple((ord(b) - ord(a)) % 26 for a, b in zip(word, word[1:], strict=False))
 
 
 def looks(word: str) -> list[str]:
     """The word, and what look-alike pairs make of it."""
+    if not _PAIRS.search(word):
+        return [word]
     other = word
     for pair, letter in T.LOOKALIKES:
         other = other.replace(pair, letter)
@@ -55,7 +72,7 @@ def looks(word: str) -> list[str]:
 
 def leet(token: str, most: int = 64) -> list[str]:
     """All-letter readings of a token with digits and symbols; none beyond ``most``."""
-    if not any(c in _LEET for c in token) or not re.search("[a-z]", token):
+    if not _LEET_SIGN.search(token) or not re.search("[a-z]", token):
         return []
     out = [""]
     for c in token:
@@ -115,6 +132,9 @@ class Detector:
         self.answers = list(dict.fromkeys(a.lower() for a in self.answers))
         self.order = {a: i for i, a in enumerate(self.answers)}
         self.longest = max(map(len, self.answers), default=0)
+        self.lengths = sorted(set(map(len, self.answers)))
+        self.codes = [(" ".join(T.MORSE[ord(c) - 97] for c in a if c in T.ALPHABET), a) for a in self.answers]
+        self.seen: dict[str, str | None] = {}
 
     # ---- maps from forms to the first answer
 
@@ -179,6 +199,24 @@ class Detector:
     def typos(self) -> dict[str, list[str]]:
         return self._lists(lambda a: [a, *(a[:i] + a[i + 1 :] for i in range(len(a)))])
 
+    @cached_property
+    def shifts(self) -> dict[tuple[int, ...], list[str]]:
+        """Accepted forms of letters only, by the steps that their Caesar shifts share."""
+        out: dict[tuple[int, ...], list[str]] = {}
+        for form in self.accepted:
+            if re.fullmatch("[a-z]+", form):
+                out.setdefault(steps(form), []).append(form)
+        return out
+
+    @cached_property
+    def letters_at(self) -> dict[tuple[int, int, str], list[str]]:
+        """Answers by their length and a letter at a place."""
+        out: dict[tuple[int, int, str], list[str]] = {}
+        for a in self.answers:
+            for i, c in enumerate(a):
+                out.setdefault((len(a), i, c), []).append(a)
+        return out
+
     @cached_property
     def prefixes(self) -> set[str]:
         return {a[:k] for a in self.answers for k in range(1, len(a) + 1)}
@@ -200,7 +238,14 @@ class Detector:
         shown = [(i, c) for i, c in enumerate(token) if c in T.ALPHABET]
         if len(shown) < 3:
             return None
-        return next((a for a in self.answers if len(a) == len(token) and all(a[i] == c for i, c in shown)), None)
+        if len(shown) == len(token):
+            return token if token in self.order else None
+        fewest = min((self.letters_at.get((len(token), i, c), []) for i, c in shown), key=len)
+        return next((a for a in fewest if all(a[i] == c for i, c in shown)), None)
+
+    def within(self, s: str) -> Iterator[str]:
+        """Answers that occur in a string."""
+        return (w for n in self.lengths for i in range(len(s) - n + 1) if (w := s[i : i + n]) in self.order)
 
     def fuzzy(self, word: str) -> str | None:
         if not re.fullmatch("[a-z]{3,12}", word) or word in self.dictionary:
@@ -216,9 +261,9 @@ class Detector:
         if hit := self.first(found):
             return hit
         if self.options.ciphers and len(word) <= self.longest + 4:
-            for n in range(1, 26):
-                if hit := self.exact(rotated(word, n)):
-                    return hit
+            turns = {(ord(f[0]) - ord(word[0])) % 26: f for f in self.shifts.get(steps(word), ())}
+            if n := min((n for n in turns if n), default=0):
+                return self.accepted[turns[n]]
         return self.sounds_like(word) if self.options.phonetic else None
 
     def sounds_like(self, word: str) -> str | None:
@@ -227,9 +272,18 @@ class Detector:
     def inside(self, word: str) -> str | None:
         if not re.fullmatch("[a-z]+", word) or word in self.dictionary:
             return None
-        return next((a for a in self.answers if len(word) > len(a) and a in word), None)
+        return self.first(a for a in self.within(word) if len(a) < len(word))
 
     def token(self, raw: str) -> str | None:
+        """First answer that a token reveals; a worker remembers its verdicts."""
+        if raw in self.seen:
+            return self.seen[raw]
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        hit = self.seen[raw] = self._token(raw)
+        return hit
+
+    def _token(self, raw: str) -> str | None:
         bare = re.sub("[^a-z0-9]", "", raw)
         for piece in dict.fromkeys([raw, bare, *filter(None, re.split("[^a-z]+", raw))]):
             for v in looks(piece):
@@ -245,7 +299,7 @@ class Detector:
     def stream(self, s: str, cap: int = 12) -> str | None:
         if len(s) < 3:
             return None
-        return self.exact(s) or (next((a for a in self.answers if a in s or a[::-1] in s), None) if len(s) <= cap else None)
+        return self.exact(s) or (self.first([*self.within(s), *self.within(s[::-1])]) if len(s) <= cap else None)
 
     def foreign(self, spelling: str, abjad: bool) -> str | None:
         if hit := self.exact(spelling):
@@ -267,7 +321,10 @@ class Detector:
             t = pattern.sub(new, t)
         if names and self.emoji_names:
             t = _EMOJI.sub(lambda m: f" {self.emoji_names.get(m[0].replace(chr(0xFE0F), ''), m[0])} ", t)
-        t = _EMOJI.sub(" ", t.lower().translate(_STYLE))
+        t = t.lower()
+        if t.isascii():
+            return t
+        t = _EMOJI.sub(" ", t.translate(_STYLE))
         t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
         if confusables and self.confusables:
             t = "".join(self.confusables.get(c, c) for c in t).lower()
@@ -284,7 +341,8 @@ class Detector:
             yield from (self.scan(t, 1) for t in blobs(raw))
         norm = self.normalize(raw)
         for form in [*morse_forms(norm), *morse_forms(raw.lower())]:
-            yield next((a for a in self.answers if " ".join(T.MORSE[ord(c) - 97] for c in a if c in T.ALPHABET) in form), None)
+            runs = [r for r in _CODE.findall(form) if len(r) > 4]
+            yield next((a for code, a in self.codes if any(code in r for r in runs)), None) if runs else None
         for source in filter(None, (norm, number_words(norm))):
             for found in decoded(source):
                 yield self.scan(found, depth + 1) if depth < 2 else self.exact(found)
@@ -315,7 +373,16 @@ class Detector:
                 yield self._acrostic([(w[0], w) for w in ws], 2)
                 yield self._backwards("".join(w[0] for w in ws))
             yield self._emoji_initials(raw)
-        yield from self._turned(raw)
+        yield from self._turned(raw, norm)
+
+    @cached_property
+    def shifted_parts(self) -> set[str]:
+        """Parts of all Caesar shifts of the answers."""
+        return {form[i:j] for form in self.caesar for i in range(len(form)) for j in range(i + 1, len(form) + 1)}
+
+    def asks(self, word: str) -> bool:
+        """False only if no rule's verdict changes with the word in the dictionary; for a detector without one."""
+        return bool(word in self.shifted_parts or self.fuzzy(word) or self.inside(word) or self.edited(word))
 
     def _joined(self, parts: list[str]) -> Iterator[str | None]:
         for i in range(len(parts)):
@@ -333,7 +400,9 @@ class Detector:
 
     def _pieces(self, words: list[str]) -> str | None:
         """An answer in short pieces with up to four words between: a breadth-first search over (letters, pieces, non-word, skipped)."""
-        for i in range(len(words)):
+        for i, begin in enumerate(words):
+            if len(begin) > 3 or begin not in self.prefixes:
+                continue
             states = {("", 0, False, 0)}
             for w in words[i : i + 12]:
                 new = set()
@@ -371,13 +440,8 @@ class Detector:
         for w in words:
             at += len(w)
             ends.add(at)
-        for a in self.answers:
-            k = flat.find(a)
-            while k >= 0:
-                if any(b in ends for b in range(k + 1, k + len(a))):
-                    return a
-                k = flat.find(a, k + 1)
-        return None
+        found = (flat[i : i + n] for n in self.lengths for b in ends for i in range(max(b - n + 1, 0), b))
+        return self.first(w for w in found if w in self.order)
 
     def _edits(self, words: list[str], norm: str) -> str | None:
         alone = {v for w in words for v in looks(w) if len(v) == 1}
@@ -394,10 +458,14 @@ class Detector:
 
     def _acrostic(self, options: list[tuple[str, ...]], skips: int, words: bool = True) -> str | None:
         """An answer from a choice of each item in turn, some skipped; with ``words`` at least one choice is the item's first."""
+        been = set()  # states that led to no answer
         for i in range(len(options)):
             stack = [(i, "", not words, skips)]
             while stack:
-                at, got, fit, left = stack.pop()
+                state = at, got, fit, left = stack.pop()
+                if got and state in been:
+                    continue
+                been.add(state)
                 if got in self.order and fit:
                     return got
                 if at >= len(options):
@@ -410,19 +478,17 @@ class Detector:
         return None
 
     def _backwards(self, initials: str) -> str | None:
-        for a in self.answers:
-            r = a[::-1]
-            if r in initials or any(re.search(f"{r[:k]}.{r[k:]}", initials) for k in range(1, len(r))):
-                return a
-        return None
+        turned = initials[::-1]
+        gaps = (w[:k] + w[k + 1 :] for n in self.lengths for i in range(len(turned) - n) for w in (turned[i : i + n + 1],) for k in range(1, n))
+        return self.first([*self.within(turned), *(w for w in gaps if w in self.order)])
 
     def _emoji_initials(self, raw: str) -> str | None:
         names = [self.emoji_names.get(e.replace("️", ""), "") for e in _EMOJI.findall(raw)] if self.emoji_names else []
         options = [o for n in names if (o := tuple(dict.fromkeys(w[0] for w in re.split("[^a-z]+", n.lower()) if w)))]
         return self._acrostic(options, 1, words=False) if len(options) >= 3 else None
 
-    def _turned(self, raw: str) -> Iterator[str | None]:
-        plain = self.normalize(raw, confusables=False)
+    def _turned(self, raw: str, norm: str) -> Iterator[str | None]:
+        plain = self.normalize(raw, confusables=False) if self.confusables else norm
         turned = plain[::-1].translate(_TURN)
         if turned != plain:
             tokens = turned.split()
@@ -454,11 +520,10 @@ def morse_forms(text: str) -> list[str]:
 
 def number_words(norm: str) -> str | None:
     """A text's words with number words as digits; None for fewer than three."""
-    ordinal = {f"{w}th": n for w, n in {**T.UNITS, **T.TENS}.items()}
-    values, out, n, ten = {**ordinal, **T.UNITS, **T.TENS}, [], 0, False
+    out, n, ten = [], 0, False
     for w in re.findall("[a-z0-9]+", norm):
-        value = values.get(w)
-        if ten and value is not None and 0 <= value < 10 and w in T.UNITS:
+        value = _NUMBERS.get(w)
+        if ten and value is not None and 0 <= value < 10 and w in _UNITS:
             out[-1] = str(int(out[-1]) + value)
             ten = False
             continue
@@ -472,14 +537,17 @@ def decoded(norm: str) -> list[str]:
     """Texts read from numbers and escapes, as letters and spaces."""
     out: list[str] = []
     runs, now, gap = [], [], 0
-    for t in re.findall("[a-z0-9]+", norm):
+    for t in re.findall("[a-z0-9]+", re.sub(r"([0-9])(?:st|nd|rd|th)\b", r"\1", norm)):
         gap = 0 if t.isdigit() else gap + 1
         if t.isdigit():
             now.append(t)
         elif gap > 2:
             runs.append(now)
             now = []
-    for run in [r for r in [*runs, now] if len(r) >= 3]:
+    runs = [r for r in [*runs, now] if len(r) >= 3]
+    # places and values in turn: "letter 1 = 23, letter 2 = 1"
+    runs += [r[1::2] for r in runs if len(r) >= 6 and len(r) % 2 == 0 and all(int(x) == i for i, x in enumerate(r[::2], 1))]
+    for run in runs:
         numbers = [int(x) for x in run]
         letters = [x for x in numbers if 1 <= x <= 26]
         if len(letters) >= 3 and sum(x != 0 for x in numbers) - len(letters) <= 2:
@@ -513,10 +581,9 @@ def decoded(norm: str) -> list[str]:
 
 def spelled(words: list[str]) -> list[str]:
     """Runs of three or more named letters, one other word between allowed."""
-    names = {**T.LETTER_NAMES, **T.NATO}
     out, now, gap = [], "", 0
     for w in re.sub(r"\b(?:double|doble) (?:u|you|yu|ve)\b", "doubleu", " ".join(words)).split():
-        letter = names.get(w, "")
+        letter = _LETTER_NAMES.get(w, "")
         gap = 0 if letter else gap + 1
         now += letter
         if gap > 1:

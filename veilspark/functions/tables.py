@@ -28,32 +28,37 @@ LEET = {
 # Pairs of letters that look like one, in the order of their replacement.
 LOOKALIKES = [("vv", "w"), ("rn", "m"), ("cl", "d"), ("lj", "y"), ("nn", "m")]
 # NATO spelling alphabet with its spelling variants.
-NATO = dict(zip(
-    "alfa alpha bravo charlie delta echo foxtrot golf hotel india juliet juliett kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey whisky xray yankee zulu".split(),
-    "aabcdefghijjklmnopqrstuvwwxyz", strict=True,
-))
+NATO = {
+    "alfa": "a", "alpha": "a", "bravo": "b", "charlie": "c", "delta": "d", "echo": "e", "foxtrot": "f", "golf": "g", "hotel": "h", "india": "i",
+    "juliet": "j", "juliett": "j", "kilo": "k", "lima": "l", "mike": "m", "november": "n", "oscar": "o", "papa": "p", "quebec": "q", "romeo": "r",
+    "sierra": "s", "tango": "t", "uniform": "u", "victor": "v", "whiskey": "w", "whisky": "w", "xray": "x", "yankee": "y", "zulu": "z",
+}
 # Names of letters in English, Spanish and German, and words that sound like them.
 LETTER_NAMES = {
-    word: letter
-    for letter, words in {
-        "a": "a ay aye ah", "b": "bee be beh", "c": "cee see ce sea tseh", "d": "dee de deh", "e": "e ee eh", "f": "eff ef efe",
-        "g": "gee ge geh", "h": "aitch haitch aych hache hah", "i": "eye i ih", "j": "jay jota yot", "k": "kay ka kah",
-        "l": "el ell ele", "m": "em eme emm", "n": "en ene enn", "o": "oh o owe", "p": "pee pe pea peh", "q": "cue queue cu kuh",
-        "r": "ar are arr erre err", "s": "ess es ese", "t": "tee tea te teh", "u": "you u yu yoo ewe yew uh", "v": "vee uve fau",
-        "w": "doubleu doubleyou dubya dubs dub veh weh", "x": "ex eks equis iks", "y": "why wye ypsilon", "z": "zee zed zeta tsett",
-    }.items()
-    for word in words.split()
+    "a": "a", "ay": "a", "aye": "a", "ah": "a", "bee": "b", "be": "b", "beh": "b", "cee": "c", "see": "c", "ce": "c", "sea": "c", "tseh": "c",
+    "dee": "d", "de": "d", "deh": "d", "e": "e", "ee": "e", "eh": "e", "eff": "f", "ef": "f", "efe": "f", "gee": "g", "ge": "g", "geh": "g",
+    "aitch": "h", "haitch": "h", "aych": "h", "hache": "h", "hah": "h", "eye": "i", "i": "i", "ih": "i", "jay": "j", "jota": "j", "yot": "j",
+    "kay": "k", "ka": "k", "kah": "k", "el": "l", "ell": "l", "ele": "l", "em": "m", "eme": "m", "emm": "m", "en": "n", "ene": "n", "enn": "n",
+    "oh": "o", "o": "o", "owe": "o", "pee": "p", "pe": "p", "pea": "p", "peh": "p", "cue": "q", "queue": "q", "cu": "q", "kuh": "q", "ar": "r",
+    "are": "r", "arr": "r", "erre": "r", "err": "r", "ess": "s", "es": "s", "ese": "s", "tee": "t", "tea": "t", "te": "t", "teh": "t", "you": "u",
+    "u": "u", "yu": "u", "yoo": "u", "ewe": "u", "yew": "u", "uh": "u", "vee": "v", "uve": "v", "fau": "v", "doubleu": "w", "doubleyou": "w",
+    "dubya": "w", "dubs": "w", "dub": "w", "veh": "w", "weh": "w", "ex": "x", "eks": "x", "equis": "x", "iks": "x", "why": "y", "wye": "y",
+    "ypsilon": "y", "zee": "z", "zed": "z", "zeta": "z", "tsett": "z",
 }
 # Number words.
 UNITS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+# Ordinals that are more than a number word and "th".
+ORDINAL_UNITS = {"first": 1, "second": 2, "third": 3, "fifth": 5, "eighth": 8, "ninth": 9, "twelfth": 12}
+ORDINAL_TENS = {"twentieth": 20, "thirtieth": 30}
 # Characters without a glyph that hide inside words (a character class).
-INVISIBLE = "[​-‏‪-‮⁠-⁯﻿­͏؜᠎ᅟᅠㅤﾠ⠀]"
+INVISIBLE = "[\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\u00ad\u034f\u061c\u180e\u115f\u1160\u3164\uffa0\u2800]"
 # Letters drawn with slashes and bars, in the order of their replacement.
 ASCII_ART = [("\\\\/\\\\/", "w"), ("\\\\/", "v"), ("\\|-\\|", "h"), ("\\|\\\\\\|", "n"), ("\\|/\\|", "m")]
 # Chat markup, as pattern and replacement ($1 is the first group), in order.
 MARKUP = [
     ("(?i):(?:regional_indicator_|letter_?)([a-z]):", " $1 "),
+    ("(?i)<a?:(?:(?:[a-z0-9]+_)*([a-z])(?:_[a-z0-9]+)*|letter_?([a-z])):[0-9]+>", " $1$2 "),
     ("<a?:(\\w+):[0-9]+>", " $1 "),
     ("<(?:@!?|#|@&)[0-9]+>", " "),
     ("<t:[0-9]+(?::\\w)?>", " "),
@@ -72,6 +77,14 @@ HOMOGLYPHS = (
 )
 UPSIDE_DOWN = ("ɐqɔpǝɟƃɥᴉıɾʞlɯuodbɹsʇnʌʍxʎz", "abcdefghiijklmnopqrstuvwxyz")
 BRAILLE = ("⠁⠃⠉⠙⠑⠋⠛⠓⠊⠚⠅⠇⠍⠝⠕⠏⠟⠗⠎⠞⠥⠧⠺⠭⠽⠵", ALPHABET)
+# Glyphs that generators of fancy fonts put for letters: strokes and signs of other scripts, phonetic letters.
+FANCY_STROKES = ("卂乃匚ᗪ乇千Ꮆ卄丨ﾌҜㄥ爪几ㄖ卩Ɋ尺丂ㄒㄩᐯ山乂ㄚ乙", ALPHABET)
+FANCY_SIGNS = ("ค๒ς๔єŦﻮђเן๓ภ๏թợяรՇยשฬאץչ", "abcdefghijmnopqrstuvwxyz")
+FANCY_PHONETIC = ("ʍɑɠɛɽʀɪʊʃʒŋðθ", "wagerriuszndt")
+#: Whole alphabets of such generators; their small letters count, too.
+FANCY_ALPHABETS = [
+    ("ᎪᏴᏟᎠᎬᎱᎶᎻᏆᏠᏦᏞᎷᏁᎾᏢᏅᏒᏚᎢᎤᏉᏔᏫᎽᏃ", ALPHABET), ("ꍏꌃꉓꀸꍟꎇꁅꃅꀤꀭꀘ꒒ꂵꈤꂦꉣꆰꋪꌗꋖꀎꃴꅏꊼꌩꁴ", ALPHABET), ("ᥴ᥅ᥲᥒᥱꪶᧁꫝꪻꪖꫀꪑꪀꪮꪹꪊꪜꪗ", "cranelghtaemnorupy"),
+]
 #: Blocks of letters in another style: first and last code point, letters of the block's alphabet repeat.
 STYLED = [(0x1F1E6, 0x1F1FF, 26), (0x1F130, 0x1F149, 26), (0x1F150, 0x1F169, 26), (0x1F170, 0x1F189, 26), (0x1D400, 0x1D7CB, 52)]
 # Words that announce an edit of a word.
@@ -106,12 +119,17 @@ def latin_folds() -> tuple[str, str]:
 
 @lru_cache(maxsize=1)
 def style_folds() -> tuple[str, str]:
-    """Letters of another style and their plain letters: the blocks of STYLED, small capitals, look-alikes, Braille."""
+    """Letters of another style and their plain letters: the blocks of STYLED, small capitals, look-alikes, Braille, fancy fonts."""
     known: dict[str, str] = {}
     for first, last, size in STYLED:
         for cp in range(first, last + 1):
             known.setdefault(chr(cp), ALPHABET[(cp - first) % size % 26])
-    for source, target in (SMALL_CAPS, HOMOGLYPHS, BRAILLE):
+    # of two glyphs for one letter in a fancy font, the later table's counts
+    fancy = {a: b for pair in (FANCY_STROKES, FANCY_SIGNS, FANCY_PHONETIC) for a, b in zip(*pair, strict=True)}
+    for source, target in FANCY_ALPHABETS:
+        for a, b in zip(source, target, strict=True):
+            fancy[a] = fancy[a.lower()] = b
+    for source, target in (SMALL_CAPS, HOMOGLYPHS, BRAILLE, ("".join(fancy), "".join(fancy.values()))):
         for a, b in zip(source, target, strict=True):
             known.setdefault(a, b)
     return "".join(known), "".join(known.values())

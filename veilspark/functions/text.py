@@ -24,7 +24,7 @@ def strip_markup(text: Column) -> Column:
 
 def fold_letters(text: Column) -> Column:
     """Lower case, styled letters and accented Latin letters as plain ones; one translate each."""
-    low = F.lower(text)
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     return F.translate(F.translate(low, *T.style_folds()), *T.latin_folds())
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .ordered import hashed_part, part_of, running
+
+# Endings with which a word still names the answer.
+ENDINGS = "s es ed d ing er ers ly y".split()
 
 
 def grouped_split(rows: DataFrame, by: str, test: float = 0.2, val: float = 0.1, seed: int = 7) -> DataFrame:
@@ -16,16 +21,16 @@ def grouped_split(rows: DataFrame, by: str, test: float = 0.2, val: float = 0.1,
     n_test, n_val = round(n * test), round(n * val)
     if min(n_test, n_val, n - n_test - n_val) < 1:
         raise ValueError(f"{n} groups leave a split empty")
-    rank = F.row_number().over(Window.orderBy(F.md5(F.concat(F.col(by), F.lit(f":{seed}"))), by))
-    ranked = groups.withColumn("__r", rank)
-    split = F.when(F.col("__r") <= n_test, "test").when(F.col("__r") <= n_test + n_val, "val").otherwise("train")
+    hashed = F.md5(F.concat(F.col(by), F.lit(f":{seed}")))
+    ranked = running(groups, hashed_part(hashed), [hashed, F.col(by)], {"__r": F.lit(1)})
+    split = F.when(F.col("__r") < n_test, "test").when(F.col("__r") < n_test + n_val, "val").otherwise("train")
     return rows.join(ranked.select(by, split.alias("split")), by)
 
 
 def mentions(text: Column, word: Column) -> Column:
-    """True where the text has the word on its own or with a common ending."""
-    pattern = F.concat(F.lit(r"(?U)\b"), word, F.lit(r"(?:s|es|ed|d|ing|er|ers|ly|y)?\b"))
-    return F.regexp_like(F.lower(text), pattern)
+    """True where the text has the word on its own or with a common ending: one of its words is such a form."""
+    forms = F.array(word, *[F.concat(word, F.lit(e)) for e in ENDINGS])
+    return F.arrays_overlap(F.split(F.lower(text), r"(?U)\W+"), forms)
 
 
 def leak_filter(rows: DataFrame) -> DataFrame:
@@ -35,10 +40,11 @@ def leak_filter(rows: DataFrame) -> DataFrame:
 
 
 def systematic(rows: DataFrame, order: list[str], most: int) -> DataFrame:
-    """Every k-th row in order, k the least step that leaves ``most`` rows or fewer: a sampling operator."""
+    """Every k-th row in order (its first column a number), k the least step that leaves ``most`` rows or fewer: a sampling operator."""
     n = rows.count()
     step = max(1, -(-n // most))
-    return rows.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("__i") % step == 0).drop("__i")
+    numbered = running(rows, part_of(rows, F.col(order[0])), [F.col(c) for c in order], {"__i": F.lit(1)})
+    return numbered.where(F.col("__i") % step == 0).drop("__i")
 
 
 def jobs(words: DataFrame, templates: DataFrame) -> DataFrame:

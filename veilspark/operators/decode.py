@@ -24,8 +24,11 @@ def base64_texts(raw: Column) -> Column:
 
 
 def number_runs(norm: Column) -> Column:
-    """Runs of three numbers or more with at most two other tokens between neighbours, each as an array of digits."""
-    parts = F.filter(F.split(norm, "[^a-z0-9]+"), lambda t: t != "")
+    """Runs of three numbers (or ordinals, as 1st) or more with at most two other tokens between neighbours, as arrays of digits.
+
+    After them, for runs of six or more that are places and values in turn ("letter 1 = 23, letter 2 = 1"), the values.
+    """
+    parts = F.filter(F.split(F.regexp_replace(norm, r"([0-9])(?:st|nd|rd|th)\b", "$1"), "[^a-z0-9]+"), lambda t: t != "")
 
     def step(acc: Column, t: Column) -> Column:
         is_number = t.rlike("^[0-9]+$")
@@ -36,7 +39,17 @@ def number_runs(norm: Column) -> Column:
         return F.struct(done.alias("done"), now.alias("now"), gap.alias("gap"))
 
     start = F.struct(F.array().cast("array<array<string>>").alias("done"), none().alias("now"), F.lit(0).alias("gap"))
-    return F.aggregate(parts, start, step, lambda acc: F.when(F.size(acc["now"]) >= 3, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+    runs = F.aggregate(parts, start, step, lambda acc: F.when(F.size(acc["now"]) >= 3, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+
+    def half(run: Column, odd: int) -> Column:
+        return F.filter(run, lambda x, i: i % 2 == odd)
+
+    def placed(run: Column) -> Column:
+        counted = F.forall(F.transform(half(run, 0), lambda x, i: x.try_cast("decimal(38,0)") == i + 1), lambda ok: F.coalesce(ok, F.lit(False)))
+        return (F.size(run) >= 6) & (F.size(run) % 2 == 0) & counted
+
+    both = F.transform(F.array(runs), lambda r: F.concat(r, F.transform(F.filter(r, placed), lambda x: half(x, 1))))
+    return F.element_at(both, 1)
 
 
 def _letters(numbers: Column, base: int) -> Column:
@@ -65,11 +78,11 @@ def number_texts(run: Column) -> Column:
 
 def number_words(words: Column) -> Column:
     """The text of a list of words with number words (ordinals too) as digits, tens and units put together; null for fewer than three."""
-    values = {**T.UNITS, **T.TENS}
-    values |= {f"{w}th": n for w, n in {**T.UNITS, **T.TENS}.items()}
+    units, tens = T.UNITS | T.ORDINAL_UNITS, T.TENS | T.ORDINAL_TENS
+    values = {f"{w}th": n for w, n in (units | tens).items()} | units | tens
     table = F.create_map(*[F.lit(x) for w, n in values.items() for x in (w, n)])
     read = F.transform(words, lambda w: F.struct(w.alias("w"), F.try_element_at(table, w).alias("n")))
-    low = {w for w, n in T.UNITS.items() if n < 10}
+    low = {w for w, n in units.items() if n < 10}
 
     def step(acc: Column, x: Column) -> Column:
         unit = x["w"].isin(list(low)) & acc["ten"]

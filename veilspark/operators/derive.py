@@ -11,6 +11,8 @@ from ..functions import text as X
 
 #: Forms and answers above this many rows are not broadcast by hint; Spark then picks the join.
 BROADCAST_ROWS = 200_000
+#: Values of a filter inside arrays at most; with more, elements are exploded and joined.
+LISTED = 5_000
 
 
 def answers(words: DataFrame) -> DataFrame:
@@ -21,8 +23,20 @@ def answers(words: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its row count has been checked to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` computed once, as rows of the plan with a broadcast hint, if these are BROADCAST_ROWS at most; else as it is."""
+    rows = df.limit(BROADCAST_ROWS + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= BROADCAST_ROWS else df
+
+
+def listed(values: DataFrame) -> list[str] | None:
+    """The distinct values of a one-column table, if they are LISTED at most: so many that a filter can hold."""
+    found = [r[0] for r in values.distinct().limit(LISTED + 1).collect() if r[0] is not None]
+    return found if len(found) <= LISTED else None
+
+
+def among(array: Column, values: list[str] | None) -> Column:
+    """The elements of an array that are among the values (by a hash set, before anything is exploded); all if there is no list."""
+    return array if values is None else F.filter(array, lambda x: x.isin(values))
 
 
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:

@@ -103,16 +103,25 @@ def substring(tokens: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def wildcard(tokens: DataFrame, answers: DataFrame) -> DataFrame:
-    """Tokens of the answer's length that agree where they have letters, three at least; other characters stand for any."""
-    shown = F.regexp_replace("token", "[^a-z]", "?")
+    """Tokens of the answer's length that agree where they have letters, three at least; other characters stand for any.
+
+    Joined on the length and the first three letters with their places; the others are then compared.
+    """
     wild = tokens.where(F.col("token").rlike("[^a-z]") & (F.length(F.regexp_replace("token", "[^a-z]", "")) >= 3))
-    length = F.length("answer")
-    masks = F.transform(
-        F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), length) - 2),
-        lambda m: F.array_join(F.transform(F.split("answer", ""), lambda c, i: F.when(F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1, F.lit("?")).otherwise(c)), ""),
-    )
-    forms = answers.where(length <= 12).select(F.explode(masks).alias("form"), *ANSWER)
-    return _on(wild, shown, forms.where(F.length(F.replace("form", F.lit("?"), F.lit(""))) >= 3))
+
+    def key(word: Column, places: list[Column]) -> Column:
+        return F.concat_ws(" ", F.length(word).cast("string"), *[F.concat(p.cast("string"), F.substring(word, p, F.lit(1))) for p in places])
+
+    letters = F.filter(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring(F.col("token"), i, F.lit(1)).rlike("[a-z]"))
+    wild = wild.withColumn("__l", F.explode(F.array(letters)))
+    n = F.length("answer")
+    fit = answers.where(n >= 3)
+    for name, low, more in (("__a", F.lit(1), 2), ("__b", F.col("__a") + 1, 1), ("__c", F.col("__b") + 1, 0)):
+        fit = fit.withColumn(name, F.explode(F.sequence(low, n - more)))
+    forms = fit.select(key(F.col("answer"), [F.col(c) for c in ("__a", "__b", "__c")]).alias("form"), *ANSWER)
+    near = _on(wild, key(F.col("token"), [F.get("__l", F.lit(k)) for k in range(3)]), forms)
+    same = F.forall("__l", lambda i: F.substring(F.col("token"), i, F.lit(1)) == F.substring(F.col("answer"), i, F.lit(1)))
+    return near.where(same).drop("__l")
 
 
 def leet_variants(token: Column) -> Column:

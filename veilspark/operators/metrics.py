@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .ordered import part_of, running
 
 LABELS = ["direct", "strong_hint", "weak_hint", "benign"]
 
@@ -17,15 +19,17 @@ def label_counts(rows: DataFrame, labels: list[str] = LABELS) -> DataFrame:
 def threshold_at_budget(rows: DataFrame, per_10k: float) -> DataFrame:
     """(threshold): the score above which deletions keep to ``per_10k`` of benign rows; 0 where the budget covers all.
 
-    The k-th largest benign score, k from the count: a top-k that Spark keeps partial on each task.
+    The k-th largest benign score, k from the count: scores are counted once each, and the one is taken that the
+    counts of those above it lead up to.
     """
     benign = rows.where(F.col("label") == "benign").select("score")
     n = benign.count()
     allowed = int(n * per_10k / 10_000)
     if allowed >= n:
         return rows.sparkSession.createDataFrame([(0.0,)], "threshold double")
-    top = benign.orderBy(F.col("score").desc()).limit(allowed + 1)
-    return top.agg(F.min("score").alias("threshold"))
+    at = benign.where(F.col("score").isNotNull()).groupBy("score").agg(F.count("*").alias("n"))
+    above = running(at, part_of(at, -F.col("score")), [F.col("score").desc()], {"above": F.col("n")})
+    return above.where((F.col("above") <= allowed) & (F.col("above") + F.col("n") > allowed)).agg(F.min("score").alias("threshold"))
 
 
 def rates(rows: DataFrame, threshold: float) -> DataFrame:
@@ -48,9 +52,8 @@ def curve(rows: DataFrame) -> DataFrame:
     benign = (F.col("label") == "benign").cast("int")
     at = rows.groupBy("score").agg(F.sum(1 - benign).alias("bad"), F.sum(benign).alias("good"))
     total = at.agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
-    above = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    points = at.select(F.col("score").alias("threshold"), F.coalesce(F.sum("bad").over(above), zero).alias("b"), F.coalesce(F.sum("good").over(above), zero).alias("g"))
+    over = running(at, part_of(at, -F.col("score")), [F.col("score").desc()], {"b": F.col("bad"), "g": F.col("good")})
+    points = over.select(F.col("score").alias("threshold"), F.col("b").cast("long").alias("b"), F.col("g").cast("long").alias("g"))
     floor = total.select(F.lit(-1.0).alias("threshold"), F.col("all_bad").alias("b"), F.col("all_good").alias("g"))
     both = points.where(F.col("threshold") != -1.0).unionByName(floor).crossJoin(F.broadcast(total))
     return both.select("threshold", F.try_divide("b", "all_bad").alias("recall"), (F.try_divide("g", "all_good") * 10_000).alias("fp_per_10k"))

@@ -5,6 +5,8 @@ Each works row by row on arrays of a text's own tokens, so nothing is shuffled b
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tables as T
@@ -14,6 +16,8 @@ from . import match as M
 
 #: Parts joined at most, letters that a joined word may exceed the longest answer by, caps of a stream and of a grid.
 JOIN_PARTS, JOIN_SLACK, SHORT_STREAM, LONG_STREAM, GRID_ROWS, GRID_COLUMNS = 12, 3, 12, 40, 40, 80
+#: Letters by which a run of parts is held against the forms before it is joined in all ways.
+PREFIX = 3
 
 
 #: Word boundaries of ASCII words; Java's own are Unicode's.
@@ -25,12 +29,22 @@ def parts(tokens: Column) -> Column:
     return F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, r"[^a-z0-9@$!|+(€£¢]", "")), lambda t: t != "")
 
 
-def joined_words(docs: DataFrame, longest: int) -> DataFrame:
-    """(doc_id, pos, n, joined): runs of 2 to JOIN_PARTS neighbouring parts whose letters fit an answer."""
+def joined_words(docs: DataFrame, longest: int, heads: list[str] | None = None) -> DataFrame:
+    """(doc_id, pos, n, joined): runs of 2 to JOIN_PARTS neighbouring parts whose letters fit an answer; with ``heads`` only those that begin so."""
     rows = D.pinned(docs.select("doc_id", parts(F.col("tokens")).alias("__p")), p=F.col("__p"))
-    near = F.transform("p", lambda w, i: F.slice("p", i + 1, F.lit(JOIN_PARTS)))
-    rows = rows.select("doc_id", F.posexplode(near).alias("pos", "near")).where(F.size("near") > 1)
-    rows = rows.where(F.length(F.get("near", F.lit(0))) < longest + JOIN_SLACK)
+
+    def fits(i: Column) -> Column:
+        """Whether the parts from place i on, read on as far as a prefix reaches, begin as a form does."""
+        begin = F.substring(F.concat_ws("", *[F.get("p", i + k) for k in range(2 * PREFIX)]), 1, 2 * PREFIX)
+        ways = [F.substring(X.looked_alike(F.substring(begin, 1, k)), 1, PREFIX).isin(heads) for k in range(PREFIX, 2 * PREFIX + 1)]
+        return F.substring(begin, 1, PREFIX).isin(heads) | reduce(Column.__or__, ways)
+
+    places = F.when(F.size("p") > 1, F.sequence(F.lit(0), F.size("p") - 2)).otherwise(F.array().cast("array<int>"))
+    places = F.filter(places, lambda i: F.length(F.get("p", i)) < longest + JOIN_SLACK)
+    places = places if heads is None else F.filter(places, fits)
+    # parts by their places: a slice inside a lambda would copy the whole array for each
+    near = F.transform(places, lambda i: F.struct(i.alias("pos"), F.array_compact(F.array(*[F.get("p", i + k) for k in range(JOIN_PARTS)])).alias("near")))
+    rows = rows.select("doc_id", F.explode(near).alias("x")).select("doc_id", "x.pos", "x.near")
     runs = rows.select("doc_id", "pos", "near", F.explode(F.sequence(F.lit(2), F.size("near"))).alias("n"))
     runs = runs.select("doc_id", "pos", "n", F.array_join(F.slice("near", F.lit(1), F.col("n")), "").alias("joined"))
     return runs.where(F.length("joined") <= longest + JOIN_SLACK)
@@ -39,7 +53,8 @@ def joined_words(docs: DataFrame, longest: int) -> DataFrame:
 def split_words(docs: DataFrame, answers: DataFrame) -> DataFrame:
     """(doc_id, pos, n, joined, answer...) where neighbouring parts together are an accepted form, look-alikes read too."""
     longest = answers.agg(F.max(F.length("answer"))).first()[0] or 0
-    runs = joined_words(docs, longest).withColumn("token", F.explode(F.array_distinct(F.array("joined", X.looked_alike(F.col("joined"))))))
+    heads = D.listed(D.accepted(answers).select(F.substring("form", 1, PREFIX)))
+    runs = joined_words(docs, longest, heads).withColumn("token", F.explode(F.array_distinct(F.array("joined", X.looked_alike(F.col("joined"))))))
     return M.exact(runs, answers).select("doc_id", "pos", "n", "joined", *M.ANSWER).distinct()
 
 
@@ -53,7 +68,8 @@ def in_stream(streams: DataFrame, answers: DataFrame, cap: int) -> DataFrame:
     pieces = F.flatten(F.transform(lengths, lambda n: F.transform(
         F.when(F.length("stream") >= n, F.sequence(F.lit(1), F.length("stream") - n + 1)).otherwise(none), lambda i: F.substring(F.col("stream"), i, n)
     )))
-    held = fit.where(F.length("stream") <= cap).withColumn("__p", F.explode(F.array_distinct(pieces)))
+    pieces = D.among(F.array_distinct(pieces), D.listed(both.select("form")))
+    held = fit.where(F.length("stream") <= cap).withColumn("__p", F.explode(pieces))
     held = held.join(D.small(both.withColumnRenamed("form", "__p")), "__p").select("doc_id", "stream", *M.ANSWER)
     return whole.unionByName(held).distinct()
 
@@ -107,19 +123,19 @@ def boundary(docs: DataFrame, answers: DataFrame) -> DataFrame:
     reach = max(sizes) - 1
     row = D.pinned(docs.select("doc_id", F.col("words").alias("__w")), w=F.col("__w"))
     ends = F.when(F.size("w") > 1, F.sequence(F.lit(1), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
-    sides = F.transform(ends, lambda i: F.struct(
-        F.array_join(F.slice("w", F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach))), "").alias("before"),
-        F.array_join(F.slice("w", i + 1, F.lit(reach)), "").alias("after"),
-    ))
-    near = row.select("doc_id", F.explode(sides).alias("s"))
-    left = F.substring("s.before", -reach, reach)
-    near = D.pinned(near.select("doc_id", F.length(left).alias("b"), F.concat(left, F.substring("s.after", 1, reach)).alias("__t")), flat=F.col("__t"))
-
-    def around(n: int) -> Column:
-        before = F.filter(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: k <= F.col("b"))
-        return F.transform(before, lambda k: F.substring(F.col("flat"), F.col("b") - k + 1, F.lit(n)))
-
-    pieces = near.select("doc_id", F.explode(F.flatten(F.array(*[around(n) for n in sizes if n > 1]))).alias("piece"))
+    # words by their places: a slice inside a lambda would copy the whole array for each
+    before = lambda i: F.concat_ws("", *[F.get("w", F.when(i >= k, i - k)) for k in range(reach, 0, -1)])
+    after = lambda i: F.concat_ws("", *[F.get("w", i + k) for k in range(reach)])
+    sides = F.transform(ends, lambda i: F.struct(F.substring(before(i), -reach, reach).alias("left"), F.substring(after(i), 1, reach).alias("right")))
+
+    def pieces_of(s: Column) -> Column:
+        flat, b = F.concat(s["left"], s["right"]), F.length(s["left"])
+        cut = [F.when(b >= k, F.substring(flat, b - k + 1, F.lit(n))) for n in sizes for k in range(1, n)]
+        return F.array_compact(F.array(*cut)) if cut else F.array().cast("array<string>")
+
+    known = D.listed(answers.select("answer"))
+    found = F.flatten(F.transform(sides, lambda s: D.among(pieces_of(s), known)))
+    pieces = row.select("doc_id", F.explode(F.array_distinct(found)).alias("piece"))
     return pieces.join(D.small(answers.withColumn("piece", F.col("answer"))), "piece").select("doc_id", *M.ANSWER).distinct()
 
 

@@ -36,6 +36,34 @@ def _matcher(rule, fuzzy: bool):
     return query
 
 
+def _made(answers: DataFrame) -> DataFrame:
+    """Answers in disguises that prose seldom has: digits and signs for letters, pairs that look like one."""
+    a = F.col("answer")
+    pairs = a
+    for letter, pair in (("w", "vv"), ("m", "rn"), ("d", "cl")):
+        pairs = F.replace(pairs, F.lit(letter), F.lit(pair))
+    forms = F.array(F.translate(a, "oeas", "0345"), F.translate(a, "it", "1+"), pairs, F.translate(a, "lgz", "192"))
+    return answers.select(F.explode(forms).alias("token")).distinct().withColumn("n_docs", F.lit(0).cast("long"))
+
+
+def skeleton_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that are an answer's consonants: of the vocabulary, and of every third answer without its vowels."""
+    vocab, answers = _vocab(spark, sf_dir), D.benchmark_answers(spark, sf_dir)
+    made = answers.where("answer_ord % 3 = 0").select(X.consonants(F.col("answer")).alias("token")).distinct().withColumn("n_docs", F.lit(0).cast("long"))
+    tokens = M.unlisted(vocab.select("token", "n_docs").unionByName(made), D.dictionary(vocab))
+    return M.skeleton(tokens, answers).select("token", "n_docs", "answer_ord", "answer")
+
+
+def _disguised(rule):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        answers = D.benchmark_answers(spark, sf_dir)
+        tokens = _vocab(spark, sf_dir).select("token", "n_docs").unionByName(_made(answers))
+        return rule(tokens, answers).select("token", "n_docs", "answer_ord", "answer")
+
+    query.__doc__ = rule.__doc__
+    return query
+
+
 def substring_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens outside the dictionary that contain an answer and more."""
     vocab = _vocab(spark, sf_dir)
@@ -114,9 +142,9 @@ QUERIES = {
     "exact_hits": exact_hits, "normalize_ascii": normalized, "tokens": token_counts, "letter_keys": letter_keys, "unflip": unflipped,
     "exact_forms": _forms(D.exact_forms), "inflection_forms": _forms(D.inflections), "caesar_forms": _forms(D.caesar_forms), "key_forms": _forms(D.key_forms),
     "anagram_hits": _matcher(M.anagram, True), "damerau_hits": _matcher(M.typo, True), "dedupe_hits": _matcher(M.undoubled, True),
-    "skeleton_hits": _matcher(M.skeleton, True), "interleave_hits": _matcher(M.interleaved, True), "caesar_hits": _matcher(M.caesar, True),
-    "substring_hits": substring_hits, "wildcard_hits": _matcher(M.wildcard, False), "leet_hits": _matcher(M.leet, False),
-    "visual_pair_hits": _matcher(M.looked_alike, False), "attack_sweep": attack_sweep,
+    "skeleton_hits": skeleton_hits, "interleave_hits": _matcher(M.interleaved, True), "caesar_hits": _matcher(M.caesar, True),
+    "substring_hits": substring_hits, "wildcard_hits": _matcher(M.wildcard, False), "leet_hits": _disguised(M.leet),
+    "visual_pair_hits": _disguised(M.looked_alike), "attack_sweep": attack_sweep,
 }
 
 
@@ -130,7 +158,7 @@ def _rot(c: str, n: int) -> str:
 
 def _fold(c: str) -> str:
     (a, b), (x, y) = T.style_folds(), T.latin_folds()
-    return f"translate(translate(lower({c}), {_q(a)}, {_q(b)}), {_q(x)}, {_q(y)})"
+    return f"translate(translate(replace(lower({c}), 'ß', 'ss'), {_q(a)}, {_q(b)}), {_q(x)}, {_q(y)})"
 
 
 def _norm(c: str) -> str:
@@ -148,7 +176,7 @@ def _tokens(c: str) -> str:
 
 
 def _undoubled(c: str) -> str:
-    return f"array_to_string(list_filter(list_transform(range(1, length({c}) + 1), lambda i: CASE WHEN i > 1 AND {c}[i] = {c}[i - 1] THEN '' ELSE {c}[i] END), lambda z: z <> ''), '')"
+    return "regexp_replace(" * len(T.ALPHABET) + c + "".join(f", '{x}{x}+', '{x}', 'g')" for x in T.ALPHABET)
 
 
 def _key(c: str, step: int) -> str:
@@ -192,13 +220,29 @@ for _pair, _letter in T.LOOKALIKES:
     _ALIKE = f"replace({_ALIKE}, '{_pair}', '{_letter}')"
 _MORSE = "array_to_string(list_transform(string_split(answer, ''), lambda c: CASE c " + " ".join(f"WHEN '{a}' THEN '{m}'" for a, m in zip(T.ALPHABET, T.MORSE, strict=True)) + " END), ' ')"
 _EVERY = "array_to_string(list_transform(range({0}, length(token) + 1, 2), lambda i: token[i]), '')"
+#: Answers in disguises that prose seldom has, so that rules without a hit in the corpus are held against something.
+MADE_SQL = """made AS (SELECT DISTINCT token, 0 AS n_docs FROM (SELECT translate(answer, 'oeas', '0345') AS token FROM answers UNION ALL SELECT translate(answer, 'it', '1+') FROM answers
+  UNION ALL SELECT replace(replace(replace(answer, 'w', 'vv'), 'm', 'rn'), 'd', 'cl') FROM answers UNION ALL SELECT translate(answer, 'lgz', '192') FROM answers))"""
 _LEET_STEP = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in T.LEET.items())
 _LEET_SQL = rf"""RECURSIVE {ANSWERS_SQL}, {VOCAB_SQL}, {ACCEPTED_SQL},
-wild AS (SELECT token, n_docs FROM vocab WHERE regexp_matches(token, '[0-9@$!|+(€£¢]') AND regexp_matches(token, '[a-z]')
+{MADE_SQL}, wild AS (SELECT token, n_docs FROM (SELECT token, n_docs FROM vocab UNION ALL SELECT * FROM made) WHERE regexp_matches(token, '[0-9@$!|+(€£¢]') AND regexp_matches(token, '[a-z]')
   AND regexp_full_match(token, '[a-z0-9@$!|+(€£¢]+')
   AND 64 >= pow(2, length(token) - length(replace(token, '1', '')))),
 v AS (SELECT token, n_docs, 0 AS i, '' AS s FROM wild UNION ALL
   SELECT token, n_docs, i + 1, s || unnest(string_split(CASE token[i + 1] {_LEET_STEP} ELSE token[i + 1] END, '')) FROM v WHERE i < length(token))"""
+ANSWERS_M = ANSWERS_SQL.replace(" AS (", " AS MATERIALIZED (", 1)
+VOCAB_M = VOCAB_SQL.replace("vocab AS (", "vocab AS MATERIALIZED (").replace("words AS (", "words AS MATERIALIZED (").replace("loose AS (", "loose AS MATERIALIZED (")
+
+
+def _keyed(token: str, answer: str) -> str:
+    """SQL of the tokens that share a key with an answer, keys computed once for each side."""
+    return f"""WITH {ANSWERS_M}, {VOCAB_M}, a AS MATERIALIZED (SELECT answer_ord, answer, {answer} AS k FROM answers), t AS MATERIALIZED (SELECT token, n_docs, {token} AS k FROM loose)
+        SELECT {_HIT} FROM t JOIN a USING (k)"""
+
+
+def _deleted(c: str) -> str:
+    return f"list_concat([{c}], list_transform(range(1, length({c}) + 1), lambda i: substr({c}, 1, i - 1) || substr({c}, i + 1)))"
+
 
 ORACLES = {
     "exact_hits": f"""WITH {ANSWERS_SQL}, {SEEN_SQL}, {ACCEPTED_SQL}
@@ -212,7 +256,8 @@ ORACLES = {
         md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, text, {_tokens(_fold('text'))} AS t FROM documents)""",
     "letter_keys": f"""WITH {VOCAB_SQL} SELECT token, {_SORTED.format('token')} AS sorted, {_undoubled('token')} AS undoubled,
         regexp_replace(token, '[aeiou]', '', 'g') AS consonants, reverse(token) AS reversed FROM vocab WHERE regexp_full_match(token, '[a-z]+')""",
-    "unflip": f"""WITH {ANSWERS_SQL} SELECT answer_ord, reverse(translate(answer, '{T.ALPHABET}', 'ɐqɔpǝɟƃɥᴉɾʞlɯuodbɹsʇnʌʍxʎz')) AS turned, answer AS back FROM answers""",
+    "unflip": f"""WITH {ANSWERS_SQL} SELECT answer_ord, reverse(translate(answer, '{T.ALPHABET}', 'ɐqɔpǝɟƃɥᴉɾʞlɯuodbɹsʇnʌʍxʎz')) AS turned,
+        translate(reverse(reverse(translate(answer, '{T.ALPHABET}', 'ɐqɔpǝɟƃɥᴉɾʞlɯuodbɹsʇnʌʍxʎz'))), '{T.UPSIDE_DOWN[0]}', '{T.UPSIDE_DOWN[1]}') AS back FROM answers""",
     "exact_forms": f"WITH {ANSWERS_SQL}, {EXACT_SQL} SELECT answer_ord, answer, kind, form FROM exact",
     "inflection_forms": f"WITH {ANSWERS_SQL}, {INFLECT_SQL} SELECT answer_ord, answer, kind, form FROM inflected",
     "caesar_forms": f"WITH {ANSWERS_SQL} {_CAESAR}",
@@ -220,18 +265,44 @@ ORACLES = {
         SELECT answer_ord, answer, 'undoubled', {_undoubled('answer')} FROM answers UNION ALL
         SELECT answer_ord, answer, 'consonants', regexp_replace(answer, '[aeiou]', '', 'g') FROM answers UNION ALL
         SELECT answer_ord, answer, 'morse', {_MORSE} FROM answers""",
-    "anagram_hits": f"WITH {ANSWERS_SQL}, {VOCAB_SQL} SELECT {_HIT} FROM loose JOIN answers ON {_SORTED.format('token')} = {_SORTED.format('answer')}",
-    "damerau_hits": f"WITH {ANSWERS_SQL}, {VOCAB_SQL} SELECT {_HIT} FROM loose JOIN answers ON abs(length(token) - length(answer)) <= 1 AND damerau_levenshtein(token, answer) <= 1",
-    "dedupe_hits": f"WITH {ANSWERS_SQL}, {VOCAB_SQL} SELECT {_HIT} FROM loose JOIN answers ON {_undoubled('token')} = {_undoubled('answer')}",
-    "skeleton_hits": f"WITH {ANSWERS_SQL}, {VOCAB_SQL} SELECT {_HIT} FROM loose JOIN answers ON token = regexp_replace(answer, '[aeiou]', '', 'g') WHERE length(token) >= 3",
+    "anagram_hits": _keyed(_SORTED.format("token"), _SORTED.format("answer")),
+    # strings a distance of one apart share themselves or one of their deletions
+    "damerau_hits": f"""WITH {ANSWERS_M}, {VOCAB_M}, a AS MATERIALIZED (SELECT DISTINCT answer_ord, answer, unnest({_deleted('answer')}) AS k FROM answers),
+        t AS MATERIALIZED (SELECT DISTINCT token, n_docs, unnest({_deleted('token')}) AS k FROM loose), p AS MATERIALIZED (SELECT DISTINCT {_HIT} FROM t JOIN a USING (k))
+        SELECT {_HIT} FROM p WHERE damerau_levenshtein(token, answer) <= 1""",
+    "dedupe_hits": _keyed(_undoubled("token"), _undoubled("answer")),
+    "skeleton_hits": f"""WITH {ANSWERS_M}, {VOCAB_M}, s AS MATERIALIZED (SELECT answer_ord, answer, regexp_replace(answer, '[aeiou]', '', 'g') AS k FROM answers),
+        m AS (SELECT DISTINCT k AS token, 0 AS n_docs FROM s ANTI JOIN words ON k = word WHERE answer_ord % 3 = 0)
+        SELECT {_HIT} FROM (SELECT token, n_docs FROM loose UNION ALL SELECT * FROM m) JOIN s ON token = k WHERE length(token) >= 3""",
     "interleave_hits": f"""WITH {ANSWERS_SQL}, {VOCAB_SQL}, {ACCEPTED_SQL} SELECT DISTINCT {_HIT} FROM loose JOIN accepted
         ON form = {_EVERY.format(1)} OR form = {_EVERY.format(2)} WHERE length(token) BETWEEN 2 * length(answer) - 1 AND 2 * length(answer) + 1""",
     "caesar_hits": f"WITH {ANSWERS_SQL}, {VOCAB_SQL}, c AS (SELECT DISTINCT answer_ord, answer, form FROM ({_CAESAR})) SELECT {_HIT} FROM loose JOIN c ON token = form",
-    "substring_hits": f"""WITH {ANSWERS_SQL}, {VOCAB_SQL} SELECT {_HIT} FROM vocab JOIN answers ON contains(token, answer) AND length(token) > length(answer)
-        WHERE regexp_full_match(token, '[a-z]+') AND token NOT IN (SELECT word FROM words)""",
+    # answers have five letters
+    "substring_hits": f"""WITH {ANSWERS_M}, {VOCAB_M}, w AS MATERIALIZED (SELECT token, n_docs FROM vocab ANTI JOIN words ON token = word WHERE regexp_full_match(token, '[a-z]{{6,}}')),
+        p AS MATERIALIZED (SELECT DISTINCT token, n_docs, unnest(list_transform(range(1, length(token) - 3), lambda i: substr(token, i, 5))) AS answer FROM w)
+        SELECT {_HIT} FROM p JOIN answers USING (answer)""",
     "wildcard_hits": f"""WITH {ANSWERS_SQL}, {VOCAB_SQL} SELECT {_HIT} FROM vocab JOIN answers ON length(token) = length(answer)
         AND len(list_filter(range(1, length(answer) + 1), lambda i: regexp_matches(token[i], '[a-z]') AND token[i] <> answer[i])) = 0
         WHERE length(regexp_replace(token, '[^a-z]', '', 'g')) >= 3 AND regexp_matches(token, '[^a-z]')""",
     "leet_hits": f"WITH {_LEET_SQL} SELECT DISTINCT {_HIT} FROM v JOIN accepted ON s = form WHERE i = length(token) AND regexp_full_match(s, '[a-z]+')",
-    "visual_pair_hits": f"WITH {ANSWERS_SQL}, {VOCAB_SQL}, {ACCEPTED_SQL} SELECT {_HIT} FROM vocab JOIN accepted ON {_ALIKE} = form WHERE {_ALIKE} <> token",
+    "visual_pair_hits": f"WITH {ANSWERS_SQL}, {VOCAB_SQL}, {ACCEPTED_SQL}, {MADE_SQL} SELECT {_HIT} FROM (SELECT token, n_docs, {_ALIKE} AS k FROM (SELECT token, n_docs FROM vocab UNION ALL SELECT * FROM made)) JOIN accepted ON k = form WHERE k <> token",
+}
+_ATTACKS = {
+    "plain": "answer", "reverse": "reverse(answer)", "rot13": _rot("answer", 13), "atbash": f"translate(answer, '{T.ALPHABET}', '{T.ALPHABET[::-1]}')", "keypad": f"translate(answer, '{T.ALPHABET}', '{T.KEYPAD}')",
+    "doubled": r"regexp_replace(answer, '(.)', '\1\1', 'g')", "digits": "translate(answer, 'oeas', '0345')", "noise": "array_to_string(string_split(answer, ''), 'x')",
+    "swapped": "answer[2] || answer[1] || answer[3:]", "inside": "'zz' || answer || 'q'", "suffix": "answer || 'ness'", "shift3": _rot("answer", 3),
 }
+_MADE_ATTACKS = " UNION ALL ".join(f"SELECT answer_ord AS true_ord, '{k}' AS disguise, {v} AS token FROM answers" for k, v in _ATTACKS.items())
+ORACLES["attack_sweep"] = rf"""WITH RECURSIVE {ANSWERS_M}, {VOCAB_M}, {ACCEPTED_SQL}, c AS (SELECT DISTINCT answer_ord, form FROM ({_CAESAR})),
+x AS MATERIALIZED ({_MADE_ATTACKS}), l AS MATERIALIZED (SELECT * FROM x ANTI JOIN words ON token = word WHERE regexp_full_match(token, '[a-z]{{3,12}}')),
+v AS (SELECT true_ord, disguise, token, 0 AS i, '' AS s FROM x WHERE regexp_matches(token, '[0-9]') AND regexp_matches(token, '[a-z]') UNION ALL
+  SELECT true_ord, disguise, token, i + 1, s || unnest(string_split(CASE token[i + 1] {_LEET_STEP} ELSE token[i + 1] END, '')) FROM v WHERE i < length(token)),
+h AS (SELECT true_ord, disguise, answer_ord FROM x JOIN accepted ON token = form
+  UNION SELECT true_ord, disguise, answer_ord FROM v JOIN accepted ON s = form WHERE i = length(token)
+  UNION SELECT true_ord, disguise, answer_ord FROM x JOIN answers ON true_ord = answer_ord AND length(token) = length(answer) AND regexp_matches(token, '[^a-z]') AND length(regexp_replace(token, '[^a-z]', '', 'g')) >= 3
+    AND len(list_filter(range(1, length(answer) + 1), lambda i: regexp_matches(token[i], '[a-z]') AND token[i] <> answer[i])) = 0
+  UNION SELECT true_ord, disguise, answer_ord FROM l JOIN answers ON true_ord = answer_ord AND ({_SORTED.format('token')} = {_SORTED.format('answer')} OR damerau_levenshtein(token, answer) <= 1
+    OR {_undoubled('token')} = {_undoubled('answer')} OR (contains(token, answer) AND length(token) > length(answer)))
+  UNION SELECT true_ord, disguise, answer_ord FROM l JOIN accepted ON (form = {_EVERY.format(1)} OR form = {_EVERY.format(2)}) AND length(token) BETWEEN 2 * length(answer) - 1 AND 2 * length(answer) + 1
+  UNION SELECT true_ord, disguise, answer_ord FROM l JOIN c ON token = form)
+SELECT x.disguise, count(*) AS total, CAST(count(g.true_ord) AS BIGINT) AS caught FROM x LEFT JOIN (SELECT DISTINCT true_ord, disguise FROM h WHERE true_ord = answer_ord) g ON g.true_ord = x.true_ord AND g.disguise = x.disguise GROUP BY 1"""

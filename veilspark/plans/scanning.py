@@ -14,9 +14,14 @@ from ..sources import store
 from . import matching as Q
 
 
+#: Types and name endings of made-up attachments.
+TYPES = ["audio/ogg", "video/mp4", "image/gif", "", "application/octet-stream", "text/plain", "image/png", None]
+ENDINGS = ["", ".MKV", ".flac", ".mp3", ".gif", ".mp4.txt", ".Webm", ".opus", ".pdf"]
+
+
 def _tool(spark: SparkSession, sf_dir: str):
     vocab = Q._vocab(spark, sf_dir)
-    words = vocab.where((F.col("n_docs") >= 3) & F.col("token").rlike("^[a-z]+$")).select(F.col("token").alias("word"), "n_docs")
+    words = vocab.where((F.col("n_docs") >= 3) & F.col("token").rlike("^[a-z]+$")).select(F.col("token").alias("word"))
     return R.detector(D.benchmark_answers(spark, sf_dir), words)
 
 
@@ -58,11 +63,14 @@ def page_fetchable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issue_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class of made-up issues."""
+    """Class of made-up issues, one a document: two of its words around a word of one class or none."""
     from ..operators.conversation import issue_class
 
-    issues = ["Queue full", "text limit exceeds", "layer disabled", "answer unavailable", "External target", "unknown file", "OCR timeout", "other"]
-    return spark.createDataFrame([(i,) for i in issues], "issue string").select("issue", issue_class(F.col("issue")).alias("class"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    parts = F.array(*[F.lit(x) for x in ("queue", "limit", "Disabled", "answer unavailable", "external", "unknown", "timeout", "text")])
+    issue = F.concat_ws(" ", F.get(words, F.lit(0)), F.get(parts, (F.col("doc_id") % 8).cast("int")), F.get(words, F.lit(1)))
+    return docs.select("doc_id", issue.alias("issue")).select("doc_id", "issue", issue_class(F.col("issue")).alias("class"))
 
 
 def asset_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,19 +84,32 @@ def asset_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind of made-up attachments."""
-    rows = [("audio/ogg", "a"), ("video/mp4", "b"), ("image/gif", "c"), ("", "clip.MKV"), ("application/octet-stream", "song.flac"), ("text/plain", "x.mp3"), ("", "x.gif"), ("image/png", "x.gif")]
-    frame = spark.createDataFrame(rows, "content_type string, name string")
-    return frame.select("content_type", "name", F.coalesce(G.media_kind(F.col("content_type"), F.col("name")), F.lit("none")).alias("kind"))
+    """Kind of made-up attachments, one a line item: a type or none, and a name by its part."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    types, ends = (F.array(*[F.lit(x) for x in values]) for values in (TYPES, ENDINGS))
+    frame = items.select(
+        "l_orderkey", "l_linenumber", F.get(types, (F.col("l_partkey") % len(TYPES)).cast("int")).alias("content_type"),
+        F.concat(F.lit("f"), F.col("l_suppkey").cast("string"), F.get(ends, (F.col("l_orderkey") % len(ENDINGS)).cast("int"))).alias("name"),
+    )
+    return frame.select("l_orderkey", "l_linenumber", F.coalesce(G.media_kind(F.col("content_type"), F.col("name")), F.lit("none")).alias("kind"))
 
 
 QUERIES = {f.__name__: f for f in (scan_verdicts, scan_turns, scan_sweep, phonetic_keys, page_text, page_fetchable, issue_classes, asset_limits, media_kinds)}
 
 ORACLES = {
-    "issue_classes": """SELECT * FROM (VALUES ('Queue full', 'inspection queue'), ('text limit exceeds', 'inspection limit'), ('layer disabled', 'disabled layer'), ('answer unavailable', 'answer unavailable'),
-      ('External target', 'external content'), ('unknown file', 'unsupported content'), ('OCR timeout', 'processing failure'), ('other', 'incomplete coverage')) AS t(issue, class)""",
-    "media_kinds": """SELECT * FROM (VALUES ('audio/ogg', 'a', 'audio'), ('video/mp4', 'b', 'video'), ('image/gif', 'c', 'gif'), ('', 'clip.MKV', 'video'), ('application/octet-stream', 'song.flac', 'audio'),
-      ('text/plain', 'x.mp3', 'none'), ('', 'x.gif', 'gif'), ('image/png', 'x.gif', 'none')) AS t(content_type, name, kind)""",
+    "issue_classes": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
+      i AS (SELECT doc_id, concat_ws(' ', w[1], ['queue', 'limit', 'Disabled', 'answer unavailable', 'external', 'unknown', 'timeout', 'text'][doc_id % 8 + 1], w[2]) AS issue FROM w)
+      SELECT doc_id, issue, CASE {" ".join(f"WHEN regexp_matches(lower(issue), '{p}') THEN '{c}'" for p, c in T.ISSUE_CLASSES)} ELSE 'incomplete coverage' END AS class FROM i""",
+    "media_kinds": f"""WITH a AS (SELECT l_orderkey, l_linenumber, coalesce([{", ".join("NULL" if x is None else f"'{x}'" for x in TYPES)}][l_partkey % {len(TYPES)} + 1], '') AS t,
+        'f' || l_suppkey || [{", ".join(f"'{x}'" for x in ENDINGS)}][l_orderkey % {len(ENDINGS)} + 1] AS f FROM lineitem),
+      e AS (SELECT *, lower(CASE WHEN contains(f, '.') THEN string_split(f, '.')[-1] ELSE '' END) AS e, t IN ('', 'application/octet-stream') AS o FROM a)
+      SELECT l_orderkey, l_linenumber, CASE WHEN t = 'image/gif' OR (t NOT LIKE 'image/%' AND e = 'gif') THEN 'gif' WHEN t LIKE 'audio/%' THEN 'audio' WHEN t LIKE 'video/%' THEN 'video'
+        WHEN o AND e IN ('mp3', 'ogg', 'oga', 'opus', 'wav', 'm4a', 'aac', 'flac', 'weba', 'wma', 'aif', 'aiff') THEN 'audio' WHEN o AND e IN ('mp4', 'm4v', 'mov', 'webm', 'mkv', 'avi') THEN 'video' ELSE 'none' END AS kind FROM e""",
+    "page_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis') AS t FROM pages),
+      b AS (SELECT page_id, regexp_replace(regexp_replace(t, '</?(?:p|div|br|li|tr|h[1-6])\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS t FROM a),
+      c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM b),
+      d AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g')) AS t FROM c)
+      SELECT page_id, length(t) AS n_chars, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines FROM d""",
     "asset_limits": f"""WITH a AS (SELECT l_partkey AS message, l_orderkey * 10 + l_linenumber AS place, l_returnflag = 'A' AS image, CAST(l_quantity * 100000 AS BIGINT) AS b FROM lineitem),
       w AS (SELECT *, count(*) OVER o AS n, count(*) FILTER (WHERE image) OVER o AS i, sum(b) OVER o AS s FROM a WINDOW o AS (PARTITION BY message ORDER BY place ROWS UNBOUNDED PRECEDING))
       SELECT message, place, CASE WHEN n > {G.ASSET_LIMIT} THEN 'asset limit' WHEN image AND i > {G.IMAGE_LIMIT} THEN 'image limit' WHEN s > {G.BYTE_LIMIT} THEN 'byte limit exceeds' ELSE 'none' END AS issue FROM w""",

@@ -172,11 +172,11 @@ def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leak_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of answer and benchmark text labelled as hints that don't name the answer."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    pairs = D.benchmark_answers(spark, sf_dir).join(bench)
-    rows = pairs.select("answer", "item_id", "text", F.array(F.struct(F.lit("x").alias("author"), F.lit("no such word").alias("text"))).alias("context"), F.lit("weak_hint").alias("label"))
-    return P.leak_filter(rows).select("answer", "item_id")
+    """Documents, each a hint at one answer by its id, that don't name it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 60 + 1).alias("answer_ord"))
+    pairs = docs.join(D.small(D.benchmark_answers(spark, sf_dir)), "answer_ord")
+    rows = pairs.select("answer", "doc_id", "text", F.array(F.struct(F.lit("x").alias("author"), F.lit("no such word").alias("text"))).alias("context"), F.lit("weak_hint").alias("label"))
+    return P.leak_filter(rows).select("answer", "doc_id")
 
 
 def missing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +244,13 @@ _SUSPICIOUS = T.SUSPICIOUS.replace("'", "''")
 ORACLES = {
     "recent_context": """WITH m AS (SELECT conv_id AS channel, turn AS id FROM conversations)
       SELECT a.channel, a.id, string_agg(b.id::VARCHAR, ',' ORDER BY b.id) AS context FROM m a JOIN m b ON a.channel = b.channel AND b.id <= a.id AND a.id - b.id < 4 GROUP BY 1, 2""",
-    "fragment_join": f"WITH {Q.ANSWERS_SQL} SELECT answer_ord AS channel, 3 AS end_id, 3 AS n, answer_ord, answer FROM answers",
+    "fragment_join": f"""WITH {Q.ANSWERS_SQL}, c AS (SELECT answer_ord AS channel, ['hello there friend', answer[1:2], answer[3:3], answer[4:5], 'bye now everyone'] AS c FROM answers),
+      m AS (SELECT channel, i - 1 AS id, (i - 1) * 1000 AS ms, regexp_replace(c[i], '[^a-z]', '', 'g') AS t FROM c, unnest(range(1, 6)) AS u(i)),
+      f AS (SELECT channel, id, ms, row_number() OVER (PARTITION BY channel ORDER BY ms, id) AS r, CASE WHEN length(t) BETWEEN 1 AND 4 THEN t END AS t FROM m),
+      j AS (SELECT e.channel, e.id AS end_id, k AS n, string_agg(b.t, '' ORDER BY b.r) AS joined, count(b.t) AS whole, e.ms - min(b.ms) AS took
+        FROM f e, f b, unnest(range(2, 6)) AS u(k) WHERE b.channel = e.channel AND b.r BETWEEN e.r - k + 1 AND e.r GROUP BY e.channel, e.id, e.ms, k),
+      h AS (SELECT channel, end_id, n, a.answer_ord, a.answer, row_number() OVER (PARTITION BY channel, end_id ORDER BY n) AS best FROM j JOIN answers a ON joined = a.answer WHERE whole = n AND took < {V.FRAGMENT_MS})
+      SELECT channel, CAST(end_id AS INTEGER) AS end_id, CAST(n AS INTEGER) AS n, answer_ord, answer FROM h WHERE best = 1""",
     "backlog_latest": f"""WITH {_EV}, k AS (SELECT user AS channel, id, ms, row_number() OVER (PARTITION BY user ORDER BY ms DESC, id DESC) AS r FROM ev)
       SELECT channel, id, CAST(row_number() OVER (PARTITION BY channel ORDER BY ms, id) AS INTEGER) AS place FROM k WHERE r <= 3""",
     "hot_gate": f"""WITH {_EV}, k AS (SELECT user AS channel, id, ms, max(CASE WHEN event_type = 'purchase' THEN ms END) OVER (PARTITION BY user ORDER BY ms, id ROWS UNBOUNDED PRECEDING) AS l FROM ev)
@@ -276,8 +282,8 @@ ORACLES = {
       b AS (SELECT d.doc_id, d.lang FROM documents d JOIN labels l USING (doc_id) WHERE toxic = 0), h AS (SELECT DISTINCT b.doc_id, lang, answer_ord FROM b JOIN seen s ON s.doc_id = b.doc_id JOIN f ON s.token = f.form)
       SELECT lang, (SELECT count(*) FROM b x WHERE x.lang = b.lang) * (SELECT count(*) FROM answers) AS pairs, (SELECT count(*) FROM h WHERE h.lang = b.lang) AS flagged FROM b GROUP BY lang""",
     "grouped_split": """WITH s AS (SELECT DISTINCT source FROM documents), r AS (SELECT source, row_number() OVER (ORDER BY md5(source || ':7'), source) AS r, count(*) OVER () AS n FROM s)
-      SELECT doc_id, CASE WHEN r <= 4 THEN 'test' WHEN r <= 6 THEN 'val' ELSE 'train' END AS split FROM documents JOIN r USING (source)""",
-    "leak_filter": rf"""WITH {Q.ANSWERS_SQL} SELECT answer, item_id FROM answers, benchmark WHERE NOT regexp_matches(' ' || regexp_replace(lower(text), '[^\pL\pN_]+', '  ', 'g') || ' ', ' ' || answer || '(s|es|ed|d|ing|er|ers|ly|y)? ')""",
+      SELECT doc_id, CASE WHEN r <= round_even(n * 0.2, 0) THEN 'test' WHEN r <= round_even(n * 0.2, 0) + round_even(n * 0.1, 0) THEN 'val' ELSE 'train' END AS split FROM documents JOIN r USING (source)""",
+    "leak_filter": rf"""WITH {Q.ANSWERS_SQL} SELECT answer, doc_id FROM answers JOIN documents ON answer_ord = doc_id % 60 + 1 WHERE NOT regexp_matches(' ' || regexp_replace(lower(text), '[^\pL\pN_]+', '  ', 'g') || ' ', ' ' || answer || '(s|es|ed|d|ing|er|ers|ly|y)? ')""",
     "missing_dates": "SELECT strftime(d, '%Y-%m-%d') AS date FROM (SELECT unnest(generate_series(DATE '2024-01-15', DATE '2024-03-31', INTERVAL 1 DAY)) AS d) WHERE CAST(d AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events)",
     "attempt_normalize": """WITH m AS (SELECT conv_id AS id, turn, text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE conv_id % 4 <> 0),
       k AS (SELECT id, turn, CASE WHEN id % 3 = 0 THEN turn % 2 = 0 ELSE id % 2 = 0 END AS d, row_number() OVER (PARTITION BY id ORDER BY turn) AS r FROM m WHERE trim(text) <> '')
