@@ -180,9 +180,55 @@ def test_sharding(spark, sf):
     assert set(by) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert max(total.values()) < 1.15 * sum(total.values()) / 16 + 0
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    # no shard is off by more than one text's half, or 2% where texts are small
+    weight = collections.Counter()
+    for t in texts.values():
+        weight[t] += len(t.encode()) + 1
+    mean = sum(total.values()) / 16
+    assert max(abs(v - mean) for v in total.values()) <= max(0.02 * mean, max(weight.values()) / 2)
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.size == len(texts[r.doc_id].encode()) + 1 for r in rows)
 
 
+def test_tree_weighs_heavy_texts_within_nodes(spark):
+    """Copies that outweigh half a leaf, ties in all dimensions, and one text heavier than a leaf: the other shards are within 2%."""
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randint(50, 400) + str(i % 1900), "en", "a") for i in range(2000)]
+    for c, n in (("p", 70), ("q", 60), ("r", 25), ("s", 20)):
+        rows += [(5000 + i, c * 900, "en", None) for i in range(n)]
+    rows += [(None, None, None, None), (7, None, "en", "a"), (7, "", "en", "a")]
+    placed = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()
+    total, by = collections.Counter(), collections.defaultdict(set)
+    for r in placed:
+        total[r.shard] += r.size
+        by[r.text_crc32].add(r.shard)
+    assert len(placed) == len(rows) and set(total) == set(range(8)) and all(len(s) == 1 for s in by.values())
+    leaf = sum(total.values()) / 8
+    heaviest = 70 * 901
+    assert heaviest > 0.5 * leaf and max(abs(v - leaf) for v in total.values()) <= 0.02 * leaf
+    whole = [(i, "w" * 30_000, "en", "a") for i in range(20)] + [(100 + i, f"t{i}" * 50, "en", "a") for i in range(800)]
+    total = collections.Counter()
+    for r in sharding.shard(spark.createDataFrame(whole, "doc_id long, text string, lang string, source string"), 4).collect():
+        total[r.shard] += r.size
+    small = sorted(total.values())[:3]
+    assert max(total.values()) >= 600_000 and len(total) == 4 and max(small) - min(small) <= 0.04 * max(small)
+
+
+def test_tree_equals_a_plain_one(spark):
+    """The first cut, along the widest dimension at the weighted median, as plain Python makes it."""
+    rng = random.Random(9)
+    rows = [(bytes([i // 256, i % 256]), rng.randint(1, 9), float(rng.randint(0, 9999)), float(rng.randint(0, 9))) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "g binary, w long, x double, y double")
+    got = {bytes(r.g): r.shard for r in sharding.kd_tree(frame, ["x", "y"], 2, near=0.0).collect()}
+    order, below, total = sorted(rows, key=lambda r: r[2]), 0, sum(r[1] for r in rows)
+    for _, w, x, _ in order:
+        if below + w > total / 2:
+            break
+        below += w
+    assert all(got[g] == 0 for g, _, v, _ in rows if v < x) and all(got[g] == 1 for g, _, v, _ in rows if v > x)
+    left = sum(w for g, w, _, _ in rows if got[g] == 0)
+    assert abs(left - total / 2) <= 9
+
+
 # --- secrets
 
 
@@ -408,6 +454,9 @@ def test_common_prefix_is_rendered_once(spark):
     assert got[1].n_common == 1 and got[1].prompt == "<|user|>\nq<|end|>\n" and got[1].chosen == "<|assistant|>\ngood<|end|>\n"
     assert [got[1].chosen[m.start : m.end] for m in got[1].chosen_mask] == ["good<|end|>"]
     assert [got[1].rejected[m.start : m.end] for m in got[1].rejected_mask] == ["bad<|end|>"]
+    odd = [(1, True, 0, None, "q"), (1, False, 0, "unknown", "q"), (2, True, 0, "user", None), (2, False, 0, "user", ""), (3, True, 0, "user", "a<|end|>\n<|user|>\nb"), (3, False, 0, "user", "a"), (3, False, 1, "user", "b"), (4, True, 0, None, None), (4, False, 0, None, None)]
+    odd = {r.pair_id: r for r in chat.preference_pairs(spark.createDataFrame(odd, "pair_id long, chosen boolean, turn long, role string, text string")).collect()}
+    assert [odd[i].n_common for i in (1, 2, 3, 4)] == [0, 0, 0, 1] and odd[3].chosen == "<|user|>\na<\\|end|>\n<\\|user|>\nb<|end|>\n"
     assert (got[2].chosen, got[2].rejected, got[2].chosen_mask) == ("", "", []) and got[3].rejected is None and got[3].chosen == "<|unknown|>\n<|end|>\n"
 
 
@@ -481,6 +530,27 @@ def test_interactions_are_learnt():
     assert scores[0] > 0.7 and max(scores[1:]) < 0.5
 
 
+def test_rare_pairs_are_learnt_among_many_terms():
+    """Both words in a twentieth of the rows, thousands of other terms: no cap keeps the one without evidence of its own out."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for _ in range(6000):
+        insult, group = rng.random() < 0.3, rng.random() < 0.15
+        words = [f"n{int(rng.paretovariate(0.4)) % 4000}" for _ in range(25)] + ["insult"] * insult + ["group"] * group
+        rows.append(np.array(sorted({toxicity.bucket(w) for w in words}), np.int64))
+        labels.append(float(insult and group))
+    model = toxicity.fit(rows[:5000], np.array(labels[:5000]))
+    test = [(model.scores([[model.place[b] for b in r if b in model.place]])[0], y) for r, y in zip(rows[5000:], labels[5000:], strict=True)]
+    assert np.mean([s > 0.5 for s, y in test if y]) > 0.9 and np.mean([s > 0.5 for s, y in test if not y]) < 0.02
+
+
+def test_repeated_ids_reach_the_driver_once(spark):
+    docs = spark.createDataFrame([(1, "bad word"), (1, "bad word"), (1, "bad"), (3, None), (4, "good")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert len(model.buckets) == 0 and 0 < model.scores([[]])[0] < 1
+
+
 def test_held_out_accuracy(spark):
     directory = "/root/testdata/sf0.1"
     scored = {r.doc_id: r for r in toxicity.op9_toxicity(spark, directory).collect()}

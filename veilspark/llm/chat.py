@@ -9,15 +9,20 @@ OPEN, MIDDLE, CLOSE, LEARNT = "<|", "|>\n", "<|end|>\n", "assistant"
 
 
 def rendered(role: Column, text: Column) -> Column:
-    """One turn in the template; a null role is ``unknown``, a null text empty."""
-    return F.concat(F.lit(OPEN), F.coalesce(role, F.lit("unknown")), F.lit(MIDDLE), F.coalesce(text, F.lit("")), F.lit(CLOSE))
+    """One turn in the template; a null role is ``unknown``, a null text empty, and ``<|`` inside them is written with a backslash between."""
+    return F.concat(F.lit(OPEN), _safe(role, "unknown"), F.lit(MIDDLE), _safe(text, ""), F.lit(CLOSE))
+
+
+def _safe(part: Column, none: str) -> Column:
+    """A role or text that can't be taken for the template's marks."""
+    return F.replace(F.coalesce(part, F.lit(none)), F.lit(OPEN), F.lit("<\\|"))
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:
     """One row a pair from (pair_id, chosen boolean, turn, role, text).
 
     Turns of a side are ordered by turn, then role and text (nulls first). ``n_common`` is the length of the
-    longest common turn prefix (role and text equal); ``prompt`` renders it once, ``chosen`` and
+    longest common turn prefix (role and text equal, null equal to null only); ``prompt`` renders it once, ``chosen`` and
     ``rejected`` render what follows on each side. A mask is an array of (start, end) code points of its completion on
     which the loss counts: text and end mark of each assistant turn; everything else, the
     prompt too, is masked. Equal sides have empty completions; a side without turns is null, its
@@ -28,10 +33,14 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     rows = turns.where(F.col("pair_id").isNotNull() & F.col("chosen").isNotNull())
     rows = rows.withColumn("body", rendered(F.col("role"), F.col("text"))).withColumn("at", F.row_number().over(side))
     rows = rows.withColumn("end", F.sum(F.length("body").cast("long")).over(side.rowsBetween(Window.unboundedPreceding, 0)))
-    head = F.length(F.concat(F.lit(OPEN), F.coalesce("role", F.lit("unknown")), F.lit(MIDDLE)))
+    head = F.length(F.concat(F.lit(OPEN), _safe(F.col("role"), "unknown"), F.lit(MIDDLE)))
     begin = F.col("end") - F.length("body") + head
     learnt = F.coalesce(F.col("role") == LEARNT, F.lit(False))
-    turn = F.struct("at", "body", "end", begin.alias("begin"), learnt.alias("learnt"))
+    turn = F.struct("at", "body", "end", begin.alias("begin"), learnt.alias("learnt"), "role", "text")
+
+    def equal(i: Column) -> Column:
+        c, r = F.get("c", i - 1), F.get("r", i - 1)
+        return c["role"].eqNullSafe(r["role"]) & c["text"].eqNullSafe(r["text"])
 
     def of(chosen: bool) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("chosen") == chosen, turn)))
@@ -40,7 +49,7 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     shortest = F.least(F.size("c"), F.size("r"))
     same = F.aggregate(
         F.when(shortest > 0, F.sequence(F.lit(1), shortest)).otherwise(F.array().cast("array<int>")), F.lit(0),
-        lambda n, i: F.when((n == i - 1) & (F.get("c", i - 1)["body"] == F.get("r", i - 1)["body"]), i).otherwise(n),
+        lambda n, i: F.when((n == i - 1) & equal(i), i).otherwise(n),
     )
     pairs = pairs.withColumn("n", same)
     skipped = F.coalesce(F.get("c", F.col("n") - 1)["end"], F.lit(0).cast("long"))
@@ -63,7 +72,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as preference pairs: of ids 2k and 2k + 1 the even one is chosen, the odd one rejected."""
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     odd = F.pmod("conv_id", F.lit(2))
-    turns = talks.select(((F.col("conv_id") - odd) / 2).cast("long").alias("pair_id"), (odd == 0).alias("chosen"), "turn", "role", "text")
+    turns = talks.select(F.expr("(conv_id - pmod(conv_id, 2)) div 2").alias("pair_id"), (odd == 0).alias("chosen"), "turn", "role", "text")
     pairs = preference_pairs(turns)
 
     def flat(mask: str) -> Column:
@@ -74,16 +83,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH t AS (
-  SELECT CAST((conv_id - conv_id % 2) / 2 AS BIGINT) AS pair_id, conv_id % 2 AS side,
+  SELECT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, (conv_id % 2 + 2) % 2 AS side,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ord,
-         coalesce(role, 'unknown') AS role, role AS raw,
-         '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS body
+         replace(coalesce(role, 'unknown'), '<|', '<' || chr(92) || '|') AS role, role AS raw, text,
+         '<|' || replace(coalesce(role, 'unknown'), '<|', '<' || chr(92) || '|') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<' || chr(92) || '|') || '<|end|>' || chr(10) AS body
   FROM conversations WHERE conv_id IS NOT NULL
 ), e AS (
   SELECT *, sum(length(body)) OVER (PARTITION BY pair_id, side ORDER BY ord) AS stop FROM t
 ), m AS (
   SELECT coalesce(c.pair_id, r.pair_id) AS pair_id,
-         coalesce(min(CASE WHEN c.body IS DISTINCT FROM r.body THEN coalesce(c.ord, r.ord) END) - 1, max(c.ord)) AS n
+         coalesce(min(CASE WHEN c.ord IS NULL OR r.ord IS NULL OR c.raw IS DISTINCT FROM r.raw OR c.text IS DISTINCT FROM r.text THEN coalesce(c.ord, r.ord) END) - 1, max(c.ord)) AS n
   FROM (SELECT * FROM e WHERE side = 0) c FULL JOIN (SELECT * FROM e WHERE side = 1) r
     ON c.pair_id = r.pair_id AND c.ord = r.ord
   GROUP BY 1

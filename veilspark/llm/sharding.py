@@ -10,7 +10,7 @@ from .common import stage, text_key
 
 #: Bins of one histogram pass, a node; and the parts of a shard that are numbered apart.
 BINS, PARTS = 1024, 64
-#: A text whose copies exceed this share of a leaf is placed before the tree is built.
+#: A text whose copies exceed this share of a leaf is weighed by itself at every node: no median can cut it.
 HEAVY = 0.05
 
 
@@ -26,36 +26,55 @@ def _groups(docs: DataFrame, dims: dict[str, Column]) -> DataFrame:
     return one.select("g", "w", *[F.coalesce(F.col(f"m.{n}"), F.lit(-1.0)).alias(n) for n in dims])
 
 
-def kd_tree(groups: DataFrame, dims: list[str], room: list[float], near: float = 0.002) -> DataFrame:
-    """(g, shard): a k-d tree over ``groups`` (g, w, dims...) with one leaf for each entry of ``room``.
+def kd_tree(groups: DataFrame, dims: list[str], leaves: int, near: float = 0.002) -> DataFrame:
+    """(g, shard): a k-d tree over ``groups`` (g, w, dims...) with ``leaves`` leaves of near equal weight.
 
     A node covers a run of leaves; it is cut until it covers one. Its widest dimension, measured
     against the root's width, is cut at the weighted median of (value, tie hash): the point that
-    leaves each half its share of the room. Medians are found by histograms: a pass sums the bytes of
+    leaves each half the weight of its leaves. The node's heavy groups, which a median would leave on one side whole, are
+    first given one by one, the heaviest first, to the half that lacks more (one that outweighs a leaf of the node gets a leaf to itself); the cut through the others evens out the rest. There are
+    ``leaves / HEAVY`` heavy groups at most, and only these are known to the driver. Medians are found by histograms: a pass sums the bytes of
     BINS bins a node on the executors and narrows every node's interval to the bin that holds the median,
     until that bin holds less than ``near`` of a leaf or one key. The driver sees BINS rows a node at
     most, no rows of the table; the nodes' intervals go back as a table of one row a node.
     """
     root = groups.agg(F.sum("w"), *[F.max(n) - F.min(n) for n in dims]).first()
+    leaf = (root[0] or 0) / leaves
     spans = [s or 1.0 for s in root[1:]]
-    now = groups.withColumn("node", F.lit(0)).withColumn("tie", F.xxhash64("g").cast("double"))
-    ends = {0: len(room)}  # a node is named by its first leaf; its end says how many it covers
+    heavy = {r["g"]: (0, r["w"]) for r in groups.where(F.col("w") > HEAVY * leaf).select("g", "w").collect()}
+    now = groups.where(F.col("w") <= HEAVY * leaf).withColumn("node", F.lit(0)).withColumn("tie", F.xxhash64("g").cast("double"))
+    ends = {0: leaves}  # a node is named by its first leaf; its end says how many it covers
     while True:
         wide = [(F.max(n) - F.min(n)) / s for n, s in zip(dims, spans, strict=True)]
         open_nodes = [n for n, end in ends.items() if end - n > 1]
-        seen = now.where(F.col("node").isin(open_nodes)).groupBy("node").agg(
+        seen = {r["node"]: r for r in now.where(F.col("node").isin(open_nodes)).groupBy("node").agg(
             F.sum("w").alias("w"), F.array(*wide).alias("wide"), F.array(*[F.min(n) for n in dims]).alias("lo"), F.array(*[F.max(n) for n in dims]).alias("hi")
-        ).collect() if open_nodes else []
-        if not seen:
-            return now.select("g", F.col("node").alias("shard"))
+        ).collect()} if open_nodes else {}
+        if not open_nodes:
+            placed = groups.sparkSession.createDataFrame([(g, n) for g, (n, _) in heavy.items()], "g binary, shard int")
+            return now.select("g", F.col("node").alias("shard")).unionByName(placed)
         todo = {}
-        for r in seen:
-            node, end = r["node"], ends[r["node"]]
-            mid, d = (node + end) // 2, r["wide"].index(max(r["wide"]))
-            share = sum(room[node:mid]) / (sum(room[node:end]) or 1.0)
-            todo[node] = {"mid": mid, "d": d, "lo": r["lo"][d], "hi": r["hi"][d], "want": r["w"] * share, "below": 0.0, "value": None, "cut": None}
+        for node in open_nodes:
+            own = sorted(((w, g) for g, (n, w) in heavy.items() if n == node), key=lambda x: (-x[0], bytes(x[1])))
+            light = seen[node]["w"] if node in seen else 0
+            total = light + sum(w for w, _ in own)
+            alone = own and own[0][0] >= total / (ends[node] - node)  # it fills a leaf
+            mid = node + 1 if alone else (node + ends[node]) // 2
+            left = total * (mid - node) / (ends[node] - node)
+            right = total - left
+            if alone:
+                left, own = left - own[0][0], own[1:]
+            for w, g in own:
+                heavy[g] = (node, w) if left >= right else (mid, w)
+                left, right = (left - w, right) if left >= right else (left, right - w)
+            todo[node] = {"mid": mid, "d": 0, "cut": (0.0, 0.0)}
+            if node in seen:
+                r = seen[node]
+                d = r["wide"].index(max(r["wide"]))
+                cut = (r["lo"][d], -math.inf) if left <= 0 else (math.nextafter(r["hi"][d], math.inf), -math.inf) if left >= light else None
+                todo[node] = {"mid": mid, "d": d, "lo": r["lo"][d], "hi": r["hi"][d], "want": left, "below": 0.0, "value": None, "cut": cut}
         while any(t["cut"] is None for t in todo.values()):
-            _narrow(now, dims, {n: t for n, t in todo.items() if t["cut"] is None}, near * sum(room) / len(room))
+            _narrow(now, dims, {n: t for n, t in todo.items() if t["cut"] is None}, near * leaf)
         cuts = groups.sparkSession.createDataFrame([(n, t["mid"], t["d"] + 1, *map(float, t["cut"])) for n, t in todo.items()], "node int, mid int, d int, value double, edge double")
         x = F.element_at(F.array(*dims), F.col("d"))
         high = (x > F.col("value")) | ((x == F.col("value")) & (F.col("tie") >= F.col("edge")))
@@ -101,10 +120,9 @@ def _narrow(rows: DataFrame, dims: list[str], todo: dict[int, dict], near: float
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, lang, source) with shard and slot under the law ``bytes``.
 
-    A leaf's target is an equal part of all bytes. Equal texts go to one shard together. A text whose
-    copies outweigh HEAVY of a leaf is placed first, the heaviest to the emptiest shard (there are
-    ``shards / HEAVY`` of them at most); the k-d tree then fills the room that is left, so sizes are near
-    equal unless one text's copies outweigh a whole shard. Dimensions are the doc_id, the text's
+    A leaf's target is an equal part of all bytes. Equal texts go to one shard together, so sizes are near
+    equal unless one text's copies outweigh a whole shard. Repeated rows are copies. A null doc_id, language or source counts as -1 or as a
+    value of its own. Dimensions are the doc_id, the text's
     bytes (log), language and source (hashed) of a text's least copy; nulls count as -1. A null text has
     size 1 and goes with the empty ones. Ties are cut by a hash of the text. With fewer distinct
     texts than shards some shards stay empty; an empty table gives no rows. Slots are numbered in
@@ -116,16 +134,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     }
     docs = docs.select("doc_id", "text", "lang", "source")
     groups = stage(_groups(docs, dims))
-    leaf = (groups.agg(F.sum("w")).first()[0] or 0) / shards
-    held = [0.0] * shards
-    first = []
-    for r in sorted(groups.where(F.col("w") > HEAVY * leaf).select("g", "w").collect(), key=lambda r: (-r["w"], bytes(r["g"]))):
-        at = held.index(min(held))
-        held[at] += r["w"]
-        first.append((r["g"], at))
-    room = [max(leaf - h, 0.001 * leaf) for h in held]
-    place = kd_tree(groups.where(F.col("w") <= HEAVY * leaf), list(dims), room)
-    place = place.unionByName(docs.sparkSession.createDataFrame(first, "g binary, shard int"))
+    place = kd_tree(groups, list(dims), shards)
     rows = docs.select("doc_id", byte_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), text_key(F.col("text")).alias("g"))
     part = F.pmod(F.xxhash64("doc_id", "g"), F.lit(PARTS)).cast("int").alias("part")
     placed = stage(rows.join(place, "g").select("doc_id", "size", "text_crc32", "shard", part))

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import slices
 
-#: Most labelled rows that a model is fitted on, and terms it keeps: by evidence, and by frequency.
-SAMPLE, BY_EVIDENCE, BY_FREQUENCY = 9000, 1536, 512
+#: Most labelled rows that a model is fitted on, and least rows of a term.
+SAMPLE, SUPPORT = 9000, 3
+#: Rounds of the fit, and size of the soft threshold against a gradient's greatest noise among all terms.
+ROUNDS, NOISE = 150, 1.0
 #: Buckets of the hash, rank of the interactions, distinct words a worker remembers.
 BUCKETS, RANK, WORDS = 1 << 28, 8, 200_000
 THRESHOLD = 0.7
@@ -80,14 +82,42 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows), -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = RANK, rounds: int = 300, seed: int = 5) -> Machine:
+class _Sparse:
+    """A 0/1 matrix of rows of terms, for products with and without its transpose; every row and column it is asked for may be empty."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, rows: int, columns: int):
+        self.shape = rows, columns
+        order = np.argsort(row, kind="stable")
+        self.by_row = column[order], *_starts(row[order])
+        order = np.argsort(column, kind="stable")
+        self.by_column = row[order], *_starts(column[order])
+
+    def dot(self, m: np.ndarray) -> np.ndarray:
+        return self._sums(m, *self.by_row, self.shape[0])
+
+    def t_dot(self, m: np.ndarray) -> np.ndarray:
+        return self._sums(m, *self.by_column, self.shape[1])
+
+    @staticmethod
+    def _sums(m: np.ndarray, of: np.ndarray, filled: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((size, *m.shape[1:]), np.float32)
+        if len(of):
+            out[filled] = np.add.reduceat(m[of], begin, axis=0)
+        return out
+
+
+def _starts(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(sorted_, return_index=True)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, seed: int = 5) -> Machine:
     """Fit on distinct hashes of each row and 0/1 labels: logistic loss, Adam, shrinkage towards 0.
 
-    Terms kept: those whose split between the labels is no chance among so many terms (their rows times
-    the Kullback-Leibler divergence of their label rate comes to 0.6 of the logarithm of the number of
-    terms; BY_EVIDENCE at most, the clearest), and the most frequent others, one for 40 rows and
-    BY_FREQUENCY at most, so that a term which matters only beside another is there to interact. The latter, and
-    weakly, terms short of the whole logarithm are soft-thresholded at the size of their gradients' noise, so long texts don't drift. With no
+    All terms of SUPPORT rows or more take part. A term whose split between the labels is no chance among so many
+    terms (its rows times the Kullback-Leibler divergence of their label rate come to 0.6 of the logarithm
+    of the number of terms) is shrunk weakly or not at all. Every other one is soft-thresholded at the size that its
+    gradient's noise reaches among so many terms, which grows with the root of its rows; so long texts
+    don't drift, and a term that matters only beside another still interacts with it once that shows above the noise. With no
     rows or one class only the model is its prior.
     """
     n = len(rows)
@@ -97,33 +127,34 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = RANK, rounds: in
     flat = np.concatenate(rows)
     at_row = np.repeat(np.arange(n), [len(r) for r in rows])
     terms, at = np.unique(flat, return_inverse=True)
+    fit_ = np.bincount(at, minlength=len(terms)) >= SUPPORT
+    place = np.cumsum(fit_) - 1
+    use = fit_[at]
+    terms, at, at_row = terms[fit_], place[at[use]], at_row[use]
+    if not len(terms):
+        return Machine(terms, float(np.log(prior / (1 - prior))), np.empty(0), np.empty((0, rank)))
     df = np.bincount(at, minlength=len(terms)).astype(float)
     pos = np.bincount(at, weights=labels[at_row], minlength=len(terms))
     rate = np.clip(pos / df, 1e-9, 1 - 1e-9)
     base = labels.mean()
     proof = df * (rate * np.log(rate / base) + (1 - rate) * np.log((1 - rate) / (1 - base)))
-    clear = np.argsort(-proof, kind="stable")[:BY_EVIDENCE]
-    clear = clear[proof[clear] >= 0.6 * np.log(len(terms))]
-    often = np.setdiff1d(np.argsort(-df, kind="stable")[: min(BY_FREQUENCY, n // 40) + len(clear)], clear)
-    keep = np.concatenate([clear, often[np.argsort(-df[often], kind="stable")][: min(BY_FREQUENCY, n // 40)]])
-    keep = keep[np.argsort(terms[keep])]
-    noise = (np.where(np.isin(keep, clear), np.where(proof[keep] < np.log(len(terms)), 0.1, 0), 0.5) / np.sqrt(n)).astype(np.float32)
-    column = np.full(len(terms), -1)
-    column[keep] = np.arange(len(keep))
-    x = np.zeros((n, len(keep)), np.float32)
-    use = column[at] >= 0
-    x[at_row[use], column[at][use]] = 1
+    chance = NOISE * np.sqrt(2 * np.log(len(terms) + 1) * df * base * (1 - base)) / n
+    noise = np.where(proof >= 0.6 * np.log(len(terms)), np.where(proof < np.log(len(terms)), 0.1 / np.sqrt(n), 0), chance).astype(np.float32)
+    x = _Sparse(at_row, at, n, len(terms))
     rng = np.random.default_rng(seed)
-    p = [np.array([np.log(prior / (1 - prior))], np.float32), np.zeros(len(keep), np.float32), (rng.standard_normal((len(keep), rank)) * 0.01).astype(np.float32)]
+    p = [np.array([np.log(prior / (1 - prior))], np.float32), np.zeros(len(terms), np.float32), (rng.standard_normal((len(terms), rank)) * 0.01).astype(np.float32)]
     m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     y = labels.astype(np.float32)
+    # most terms are 0 in w and v, and have no part in the sums over a row
     for t in range(1, rounds + 1):
         b, w, v = p
-        xv = x @ v
-        z = b + x @ w + 0.5 * (xv**2 - x @ v**2).sum(axis=1)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        gx = x.T @ g
-        grads = [np.array([g.sum()], np.float32), gx + 2e-5 * w, x.T @ (g[:, None] * xv) - gx[:, None] * v + 1e-4 * v]
+        both = x.dot(np.column_stack([w, (v**2).sum(axis=1), v]))
+        xv = both[:, 2:]
+        z = b + both[:, 0] + 0.5 * ((xv**2).sum(axis=1) - both[:, 1])
+        g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n).astype(np.float32)
+        back = x.t_dot(np.column_stack([g, g[:, None] * xv]))
+        gx = back[:, 0]
+        grads = [np.array([g.sum()], np.float32), gx + 2e-5 * w, back[:, 1:] - gx[:, None] * v + 1e-4 * v]
         speed = 0.05 * (1 - t / (rounds + 1)) + 0.002
         for i, gr in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * gr
@@ -133,9 +164,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = RANK, rounds: in
             less = less[:, None] if gr.ndim == 2 else less
             p[i] = p[i] - step
             p[i] = (np.sign(p[i]) * np.maximum(np.abs(p[i]) - less, 0)).astype(np.float32)
-    xv = x @ p[2]
-    a, b = _sharpen((p[0] + x @ p[1] + 0.5 * (xv**2 - x @ p[2] ** 2).sum(axis=1)).astype(float), labels)
-    return Machine(terms[keep], a * float(p[0][0]) + b, a * p[1].astype(float), np.sqrt(a) * p[2].astype(float))
+    b, w, v = p
+    both = x.dot(np.column_stack([w, (v**2).sum(axis=1), v]))
+    margin = b[0] + both[:, 0] + 0.5 * ((both[:, 2:] ** 2).sum(axis=1) - both[:, 1])
+    scale, shift = _sharpen(margin.astype(float), labels)
+    live = (w != 0) | (v != 0).any(axis=1)  # a term without weights scores as an unknown one
+    return Machine(terms[live], scale * float(b[0]) + shift, scale * w[live].astype(float), np.sqrt(scale) * v[live].astype(float))
 
 
 def _sharpen(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -155,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fit on at most ``sample`` labelled documents that are not held out.
 
     ``labels`` (doc_id, toxic); rows with a null in either are left out, a repeated id counts as its
-    greatest label. The sample is the ids with the least hashes, so reruns agree; their texts' hashed
+    greatest label, and with its least text. The sample is the ids with the least hashes, so reruns agree; their texts' hashed
     terms, not the texts, go to the driver. Inputs of the model are the texts alone.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -168,13 +202,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             terms = [sorted({bucket(x) for x in _WORD.findall((t or "").lower())}) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(terms, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
 
-    got = both.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(hashed, "doc_id long, toxic int, terms array<int>").toArrow()
+    one = both.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    got = one.select("doc_id", "text", "toxic").mapInArrow(hashed, "doc_id long, toxic int, terms array<int>").toArrow()
     got = got.sort_by("doc_id")
     return fit([np.asarray(r, np.int64) for r in got.column("terms").to_pylist()], np.asarray(got.column("toxic").to_pylist(), float))
 
 
 def score(docs: DataFrame, model: Machine, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and the score of each whole text (null: empty, which scores the bias)."""
+    """``keep`` columns of ``docs`` and the score of each whole text (null: empty, which scores the bias).
+
+    With few labels no term stands out from chance, and all texts may score the bias. Repeated rows score alike; an empty table gives no rows.
+    """
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
