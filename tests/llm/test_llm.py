@@ -565,16 +565,45 @@ def test_held_out_accuracy(spark):
 # --- top k
 
 
-@pytest.mark.parametrize("steps", [1, 3, 7])
-def test_nra_equals_brute_force(steps):
-    rng = np.random.default_rng(steps)
-    rows = rng.integers(-3, 4, (300, 6)).astype(float)
-    ids = rng.permutation(300)
-    queries_, own = rows[:9], ids[:9]
-    q, at, score = topk.nra(rows, ids, queries_, own, 5, steps)
-    for i in range(9):
-        brute = sorted(((-float(rows[j] @ queries_[i]), ids[j]) for j in range(300) if ids[j] != own[i]))[:5]
-        assert [(-s, ids[a]) for s, a in zip(score[q == i], at[q == i], strict=True)] == brute
+@pytest.mark.parametrize("scale", [1, 40, 2**20, 2**26])
+def test_nra_equals_brute_force(scale):
+    """With ties, repeats, own rows there and not, lists of one value, and sums beyond 2**53."""
+    rng = np.random.default_rng(scale % 97)
+    for n, dims in ((1, 3), (4, 1), (60, 0), (500, 7), (3000, 16)):
+        rows = rng.integers(-9, 10, (n, dims)).astype(float) * scale
+        rows[:, dims // 2 :: 5] = 3 * scale
+        ids, own = rng.permutation(n) // 2, np.array([0, n - 1, -1])
+        queries = np.stack([rows[0], rows[n - 1], rng.integers(-9, 10, dims).astype(float) * scale])
+        a, b, score, _ = topk.nra(rows, ids, queries, own, 5)
+        for q in range(3):
+            want = sorted(((-sum(int(x) * int(y) for x, y in zip(rows[i], queries[q], strict=True)), ids[i]) for i in range(n) if i != own[q]))[:5]
+            assert [(-s, ids[i]) for i, s in zip(b[a == q], score[a == q], strict=True)] == [(s, i) for s, i in want]
+
+
+def test_nra_stops_early_and_says_what_it_read():
+    rng = np.random.default_rng(5)
+    spread = np.r_[np.full(4, 200.0), np.full(28, 3.0)]
+    rows = np.floor(rng.standard_normal((4000, 32)) * spread)
+    own = np.arange(0, 4000, 100)
+    *_, entries = topk.nra(rows, np.arange(4000), rows[own], own, 5)
+    assert entries < 0.45 * len(own) * rows.size  # few lists decide
+    even = np.floor(rng.standard_normal((4000, 32)) * 30)
+    *_, entries = topk.nra(even, np.arange(4000), even[own], own, 5)
+    assert 0.5 * len(own) * even.size < entries < 0.95 * len(own) * even.size  # no list decides much
+    with pytest.raises(ValueError, match="long"):
+        topk.nra(rows * 1e15, np.arange(4000), rows[:1] * 1e15, own[:1], 5)
+
+
+def test_top_k_of_repeated_ids_and_odd_rows_equals_sql(spark, tmp_path):
+    """Only a query's own row is left out; nulls, non-finite components and other lengths take no part."""
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, [0.5, None]), (100, None), (150, [float("nan"), 1.0]), (200, [1.0, 1.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [9.0, 9.0]), (2, [3.0]), (250, [3.0]), (3, [-1.0, 0.5]), (4, [2.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = topk.op10_topk(spark, str(tmp_path))
+    columns = sorted(got.columns)
+    found = sorted(tuple(r) for r in got.select(*columns).collect())
+    assert found == sorted(con.sql(topk.SQL).select(*columns).fetchall()) and sum(r[columns.index("query_id")] == 0 for r in found) == 10
 
 
 def test_components(spark):
