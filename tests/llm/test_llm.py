@@ -285,6 +285,51 @@ def test_sniffing_carves_and_corrects(spark):
     assert rows[6].media_type == "unknown" and rows[7].media_type == "unknown"
 
 
+def crc(data: bytes, polynomial: int, bits: int) -> bytes:
+    rest = 0
+    for byte in data:
+        for i in range(7, -1, -1):
+            rest = (rest << 1) ^ (polynomial if (rest >> (bits - 1) ^ byte >> i) & 1 else 0)
+            rest &= (1 << bits) - 1
+    return rest.to_bytes(bits // 8, "big")
+
+
+def flac(frames: int, known: bool) -> bytes:
+    """A FLAC of constant frames of 192 samples, 16 bits, one channel; sizes of frames in its header or not."""
+    out = b""
+    for i in range(frames):
+        head = bytes([0xFF, 0xF8, 0x19, 0x08, i])
+        head += crc(head, 0x07, 8)
+        frame = head + b"\0" + (1000 * i + 7).to_bytes(2, "big")
+        out += frame + crc(frame, 0x8005, 16)
+    sizes = (11).to_bytes(3, "big") * 2 if known else bytes(6)
+    info = (192).to_bytes(2, "big") * 2 + sizes + ((44100 << 44) | (15 << 36) | 192 * frames).to_bytes(8, "big") + bytes(16)
+    return b"fLaC" + b"\x80\0\0\x22" + info + out
+
+
+def test_containers_end_where_they_end(spark):
+    """A FLAC doesn't swallow what follows; an archive stored in an archive isn't its end; a PDF saved in steps is whole."""
+    import io
+    import zipfile
+
+    def archive(name, content):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, content)
+        return out.getvalue()
+
+    outer = archive("inner.zip", archive("a.txt", "hello"))
+    pdf = b"%PDF-1.4\nbody\nstartxref\n9\n%%EOF\nmore\nstartxref\n20\n%%EOF"
+    values = [(1, flac(4, True) + png()), (2, b"x" + flac(3, False) + b"tail"), (3, flac(4, True)[:-1]), (4, outer), (5, b"--" + outer + b"--"), (6, pdf), (7, pdf + b"\n" + pdf.replace(b"1.4", b"1.5")), (8, b"fLaC"), (9, flac(2, True)[:60])]
+    frame = spark.createDataFrame([(i, c, None) for i, c in values], "id int, content binary, declared string")
+    rows = {r.id: r for r in media.sniff_media(frame, "content", "declared").collect()}
+    found = {i: [(c.format, c.start, c.length) for c in r.carved] for i, r in rows.items()}
+    assert ("flac", 1, len(flac(3, False))) in found[2] and found[3] == found[8] == found[9] == []
+    assert any(f == ("png", len(flac(4, True)), len(png())) for f in found[1])
+    assert rows[4].media_type == "zip" and found[5] == [("zip", 2, len(outer))] and rows[6].media_type == "pdf"
+    assert media._flac(flac(4, True) + b"rest", 0) == ("flac", len(flac(4, True))) and media._pdf(pdf + b"\n" + pdf, 0) == ("pdf", len(pdf)) and media._zip(outer + b"PK", 0) == ("zip", len(outer))
+
+
 def test_media_round_trip(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in media.op5_media(spark, sf).collect():

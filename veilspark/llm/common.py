@@ -3,50 +3,57 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's checkpoint dir, else (tests) a temp dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach: the session's checkpoint dir; a temporary one only where all run in this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = tempfile.mkdtemp(prefix="veilspark-")
-            spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="veilspark-")
+        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/veilspark-{spark.sparkContext.applicationId}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a staged folder through Hadoop's file system API, wherever it is."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+class _Folder:
+    """A folder on any of Hadoop's file systems; it can be deleted after the session has stopped, too."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.system = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-_cleanup: set[str] = set()
+    def delete(self) -> None:
+        self.system.delete(self.path, True)
 
 
-def _sweep(spark: SparkSession, path: str) -> None:
+_folders: dict[str, _Folder] = {}
+
+
+def _sweep(root: str) -> None:
+    """At the driver's end: what is still staged goes, unless the JVM has gone before."""
     try:
-        remove(spark, path)
-    except Exception:  # the session has gone already; nothing is left to talk to
-        pass
+        _folders.pop(root).delete()
+    except (Py4JError, OSError):
+        print(f"{root} could not be deleted: the JVM has ended", file=sys.stderr)
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     root = shared_dir(spark)
-    if root not in _cleanup:
-        _cleanup.add(root)
-        atexit.register(_sweep, spark, root)
+    if root not in _folders:
+        _folders[root] = _Folder(spark, root)
+        atexit.register(_sweep, root)
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -58,7 +65,7 @@ def unstage(df: DataFrame) -> None:
     """Drop a staged table that no later plan reads."""
     path = getattr(df, "_staged_path", None)
     if path:
-        remove(df.sparkSession, path)
+        _Folder(df.sparkSession, path).delete()
 
 
 def slices(parts: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

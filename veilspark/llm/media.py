@@ -109,20 +109,22 @@ def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    """A version digit, a cross-reference pointer and the end mark."""
-    end = b.find(b"%%EOF", at)
-    fine = end >= 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) >= 0
-    return ("pdf", end + 5) if fine else None
+    """A version digit, a cross-reference pointer and the end mark; of a file saved in steps the last one's, each with a pointer of its own."""
+    end = begin = at
+    while (mark := b.find(b"%%EOF", begin)) >= 0 and b.find(b"startxref", begin, mark) >= 0 and (begin == at or b.find(b"%PDF-", begin, mark) < 0):
+        end = begin = mark + 5
+    return ("pdf", end) if end > at and b[at + 5 : at + 6].isdigit() else None
 
 
 def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    """An end record whose directory lies where it says, counted from this signature."""
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-    fine = at + offset + size == end and b[at + offset : at + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06")
-    return ("zip", end + 22 + note) if fine and end + 22 + note <= len(b) else None
+    """The first end record whose directory lies where it says, counted from this signature: not one of an archive stored inside."""
+    end = at
+    while (end := b.find(b"PK\x05\x06", end)) >= 0 and end + 22 <= len(b):
+        size, offset, note = struct.unpack_from("<IIH", b, end + 12)
+        if at + offset + size == end and b[at + offset : at + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
+            return "zip", end + 22 + note
+        end += 4
+    return None
 
 
 def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
@@ -151,19 +153,64 @@ def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
     return ("ogg", pos) if pos > at else None
 
 
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    """Checksums of single bytes, by long division by the polynomial."""
+    top, mask, out = 1 << (bits - 1), (1 << bits) - 1, []
+    for byte in range(256):
+        rest = byte << (bits - 8)
+        for _ in range(8):
+            rest = (rest << 1 ^ (polynomial if rest & top else 0)) & mask
+        out.append(rest)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_frame(b: bytes, at: int) -> tuple[int, int] | None:
+    """(samples, end of the header) of a frame whose header has the sync code and its checksum."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8:
+        return None
+    size, rate, number = b[at + 2] >> 4, b[at + 2] & 15, b[at + 4]
+    pos = at + 4 + (1 if number < 0x80 else 8 - (number ^ 0xFF).bit_length())
+    extra = {6: 1, 7: 2}.get(size, 0)
+    samples = int.from_bytes(b[pos : pos + extra], "big") + 1 if extra else 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+    pos += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    check = 0
+    for x in b[at:pos]:
+        check = _CRC8[check ^ x]
+    return (samples, pos + 1) if size and pos < len(b) and check == b[pos] else None
+
+
 def _flac(b: bytes, at: int) -> tuple[str, int] | None:
-    """Metadata blocks from STREAMINFO to the last; audio frames run to the end of the bytes."""
-    pos, first = at + 4, True
-    while pos + 4 <= len(b):
-        head, size = b[pos], int.from_bytes(b[pos + 1 : pos + 4], "big")
-        if first and (head & 0x7F or size != 34):
-            return None
+    """Metadata blocks from STREAMINFO to the last, then frames: each ends where its checksum holds, and another begins or all samples are there."""
+    pos, first, last = at + 4, True, False
+    least = most = total = 0
+    while pos + 4 <= len(b) and not last:
+        last, kind, size = bool(b[pos] & 0x80), b[pos] & 0x7F, int.from_bytes(b[pos + 1 : pos + 4], "big")
+        if first:
+            if kind or size != 34 or pos + 38 > len(b):
+                return None
+            info = b[pos + 4 : pos + 38]
+            least, most, total = int.from_bytes(info[4:7], "big"), int.from_bytes(info[7:10], "big"), int.from_bytes(info[13:18], "big") & (1 << 36) - 1
         pos, first = pos + 4 + size, False
-        if pos > len(b):
+    if not last or pos > len(b) or not total:
+        return None
+    samples = 0
+    while samples < total:
+        frame = _flac_frame(b, pos)
+        if frame is None:
             return None
-        if head & 0x80:
-            return "flac", len(b)
-    return None
+        samples += frame[0]
+        check, begin = 0, pos
+        for pos in range(begin, min(len(b), begin + most if most else len(b))):
+            check = (check << 8 & 0xFFFF) ^ _CRC16[check >> 8 ^ b[pos]]
+            if not check and pos + 1 - begin >= max(least, frame[1] - begin + 3) and (samples >= total or _flac_frame(b, pos + 1)):
+                break
+        else:
+            return None
+        pos += 1
+    return "flac", pos
 
 
 def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
