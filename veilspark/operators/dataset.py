@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .metrics import LABELS
 from .ordered import hashed_part, part_of, running
 
 # Endings with which a word still names the answer.
@@ -77,10 +78,45 @@ def selected_dates(now: Column, zone: str, back: int) -> Column:
 
 
 def parse_examples(responses: DataFrame, prefix: Column) -> DataFrame:
-    """(id, text, label, style): examples of JSON responses (response), ids numbered in each response."""
+    """(id, text, label, style): examples of JSON responses (response), ids numbered in each response; an unknown label is an error."""
     kind = "struct<examples:array<struct<text:string,label:string,style:string>>>"
     rows = responses.select(prefix.alias("p"), F.posexplode(F.from_json("response", kind)["examples"]).alias("i", "e"))
-    return rows.select(F.format_string("%s-%02d", "p", "i").alias("id"), "e.text", "e.label", "e.style")
+    known = F.coalesce(F.col("e.label").isin(LABELS), F.lit(False))
+    label = F.when(known, F.col("e.label")).otherwise(F.raise_error(F.concat(F.lit("unknown label "), F.coalesce("e.label", F.lit("null")))))
+    return rows.select(F.format_string("%s-%02d", "p", "i").alias("id"), "e.text", label.alias("label"), "e.style")
+
+
+def word_sample(words: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """``n`` different words of (word), the first by a hash of word and seed: a sampling operator. An error if there are fewer."""
+    pool = words.select(F.lower("word").alias("word")).where(F.col("word") != "").distinct()
+    if pool.limit(n).count() < n:
+        raise ValueError(f"fewer than {n} words")
+    return pool.orderBy(F.md5(F.concat("word", F.lit(f":{seed}"))), "word").limit(n)
+
+
+def rejoin(jobs_: DataFrame, results: DataFrame) -> DataFrame:
+    """Jobs (custom_id, any others) with the text of their results (custom_id, type, stop_reason, text).
+
+    It is an error if a result has not succeeded to the end of its turn, or belongs to no job.
+    """
+    mine = results.select("custom_id", "type", "stop_reason", "text").join(jobs_.withColumn("__job", F.lit(True)), "custom_id", "left")
+    wrong = F.concat(F.col("custom_id"), F.lit(": "), F.concat_ws(" ", "type", "stop_reason"))
+    fine = F.col("__job") & (F.col("type") == "succeeded") & (F.col("stop_reason") == "end_turn")
+    text = F.when(F.coalesce(fine, F.lit(False)), F.col("text")).otherwise(F.raise_error(wrong))
+    return mine.select(*jobs_.columns, text.alias("text"))
+
+
+def judge_request(instructions: str, answers: list[str], content: Column, evidence: Column) -> Column:
+    """Request to a judge as a struct: cached instructions, the protected answers, the content, and pointers (kind, candidate) if there are any."""
+    if not answers:
+        raise ValueError("a judge needs a protected answer")
+    named = F.lit(f"Protected answers: {', '.join(a.upper() for a in answers)}.")
+    hints = F.concat(F.lit("Evidence:\n"), F.array_join(F.transform(evidence, lambda e: F.concat(e["kind"], F.lit(": "), e["candidate"])), "\n"))
+    parts = F.array_compact(F.array(content, F.when(F.size(evidence) > 0, hints)))
+    return F.struct(
+        F.array(F.struct(F.lit(instructions).alias("text"), F.lit(True).alias("cached")), F.struct(named.alias("text"), F.lit(False).alias("cached"))).alias("system"),
+        parts.alias("user"),
+    )
 
 
 def attempts(rows: DataFrame, messages: int = 12, chars: int = 2000) -> DataFrame:

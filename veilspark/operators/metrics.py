@@ -76,11 +76,28 @@ def eval_summary(cases: DataFrame) -> DataFrame:
     )
 
 
+#: Kinds of tokens that a price list prices: cache writes by how long the cache holds them.
+PRICED = ["input", "output", "cache_read", "cache_write_5m", "cache_write_1h"]
+
+
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """(id, cost): dollars of each request (id, model, input, output, cache_read, cache_write); null where the model or a count is unknown."""
-    joined = usage.join(F.broadcast(prices.select("model", *[F.col(c).alias(f"p_{c}") for c in ("input", "output", "cache_read", "cache_write")])), "model", "left")
-    cost = sum((F.col(c) * F.col(f"p_{c}") for c in ("input", "output", "cache_read", "cache_write")), F.lit(0.0)) / 1e6
-    return joined.select("id", cost.alias("cost"))
+    """(id, cost): dollars of each request (id, model, cache_write, and the kinds of PRICED); null where the model or a count is unknown.
+
+    A model is priced by its own name or by one it continues after a dash. Prices (model, PRICED) are a short list.
+    It is an error if the cache writes by kind don't add up to all of them. Missing counts of cache writes are 0.
+    """
+    listed = {r["model"]: [float(r[c]) for c in PRICED] for r in prices.collect()}
+    parts = F.split("model", "-")
+    names = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "-"))
+    table = F.create_map(*[x for m, p in listed.items() for x in (F.lit(m), F.array(*map(F.lit, p)))]) if listed else F.create_map().cast("map<string,array<double>>")
+    price = F.get(F.filter(F.transform(names, lambda n: F.try_element_at(table, n)), lambda p: p.isNotNull()), F.lit(0))
+    none = F.lit(0).cast("long")
+    written = [F.coalesce(F.col(c), none) for c in PRICED[3:]]
+    apart = written[0] + written[1] != F.coalesce(F.col("cache_write"), none)
+    counts = [F.col(c) for c in PRICED[:3]] + written
+    cost = sum((c * F.get("price", F.lit(i)) for i, c in enumerate(counts)), F.lit(0.0)) / 1e6
+    priced = usage.withColumn("price", price)
+    return priced.select("id", F.when(apart, F.raise_error(F.lit("cache writes by kind don't add up"))).otherwise(cost).alias("cost"))
 
 
 def total_or_null(value: Column) -> Column:
@@ -94,6 +111,26 @@ def detector_report(rows: DataFrame) -> DataFrame:
     return own.withColumn("recall", F.col("caught") / F.col("n"))
 
 
+def false_positives(rows: DataFrame) -> DataFrame:
+    """Rows (label, style, hit, any others) that are hit though they aren't direct."""
+    return rows.where((F.col("label") != "direct") & F.col("hit"))
+
+
+def pass_through(rows: DataFrame, labels: list[str] = LABELS) -> DataFrame:
+    """(label, n, passed) for every label: rows, and those without a hit, which the next layer sees."""
+    every = rows.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    seen = rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(~F.col("hit")).alias("passed"))
+    return every.join(seen, "label", "left").select("label", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "passed")])
+
+
+def ledger(attacks: DataFrame) -> DataFrame:
+    """(technique, total, caught, lost, won) of attacks (technique, closed, caught): closed ones that slip through, and open ones that are caught now."""
+    return attacks.groupBy("technique").agg(
+        F.count("*").alias("total"), F.count_if("caught").alias("caught"),
+        F.count_if(F.col("closed") & ~F.col("caught")).alias("lost"), F.count_if(~F.col("closed") & F.col("caught")).alias("won"),
+    )
+
+
 def outcome(intent: Column, caught: Column) -> Column:
     """Outcome of an attempt: a leak caught or missed, an innocent message caught or let through."""
     innocent = intent == "innocent"

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import conversation as V
 from ..operators import dataset as P
 from ..operators import derive as D
+from ..operators import match as M
 from ..operators import metrics as A
 from . import matching as Q
 
@@ -147,8 +148,12 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost of made-up requests, one a customer, and null for a model without a price."""
     who = spark.read.parquet(f"{sf_dir}/customer.parquet")
     k = F.col("c_custkey")
-    usage = who.select(k.alias("id"), F.when(k % 5 == 0, "other").otherwise("small").alias("model"), (k % 1000).alias("input"), (k % 77).alias("output"), (k % 13).alias("cache_read"), F.when(k % 11 == 0, F.lit(None)).otherwise(k % 3).alias("cache_write"))
-    prices = spark.createDataFrame([("small", 1.0, 5.0, 0.1, 1.25)], "model string, input double, output double, cache_read double, cache_write double")
+    held = F.when(k % 11 == 0, F.lit(None)).otherwise(k % 3)
+    usage = who.select(
+        k.alias("id"), F.when(k % 5 == 0, "other").when(k % 5 == 1, "small-2024").when(k % 5 == 2, "smaller").otherwise("small").alias("model"), F.when(k % 7 != 0, k % 1000).alias("input"),
+        (k % 77).alias("output"), (k % 13).alias("cache_read"), held.alias("cache_write_5m"), (k % 2).alias("cache_write_1h"), (F.coalesce(held, F.lit(0)) + k % 2).alias("cache_write"),
+    )
+    prices = spark.createDataFrame([("small", 1.0, 5.0, 0.1, 1.25, 2.0)], "model string, input double, output double, cache_read double, cache_write_5m double, cache_write_1h double")
     return A.token_cost(usage, prices)
 
 
@@ -230,10 +235,57 @@ def systematic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.systematic(D.benchmark_answers(spark, sf_dir), ["answer_ord"], 10)
 
 
+def false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows flagged at 0.8 that aren't direct."""
+    return A.false_positives(_outcomes(spark, sf_dir).withColumn("hit", F.col("score") > 0.8)).select("id", "label", "style")
+
+
+def pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each label, and those that a threshold of 0.8 lets through."""
+    return A.pass_through(_outcomes(spark, sf_dir).withColumn("hit", F.col("score") > 0.8))
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attacks of the sweep as a ledger: two of three answers' are closed, caught ones are exact hits."""
+    answers = D.benchmark_answers(spark, sf_dir)
+    attacks = Q._attacks(answers)
+    hits = M.exact(attacks, answers).select("true_ord", "disguise", "answer_ord")
+    both = attacks.select("true_ord", "disguise").join(hits, ["true_ord", "disguise"], "left")
+    return A.ledger(both.select(F.col("disguise").alias("technique"), (F.col("true_ord") % 3 != 0).alias("closed"), F.coalesce(F.col("answer_ord") == F.col("true_ord"), F.lit(False)).alias("caught")))
+
+
+def word_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty of the answers."""
+    return P.word_sample(D.benchmark_answers(spark, sf_dir).select(F.col("answer").alias("word")), 20)
+
+
+def batch_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of answers and templates with the texts of their made-up results."""
+    words = D.benchmark_answers(spark, sf_dir).select(F.col("answer").alias("word"))
+    made = P.jobs(words, spark.createDataFrame([("riddle",), ("rhyme",)], "template string"))
+    made = made.select(F.concat_ws("-", "word", "template").alias("custom_id"), "word", "template")
+    results = made.select("custom_id", F.lit("succeeded").alias("type"), F.lit("end_turn").alias("stop_reason"), F.reverse("word").alias("text"))
+    return P.rejoin(made, results)
+
+
+def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the request to a judge for every benchmark text, the answers that it names as evidence."""
+    bench, answers = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), D.benchmark_answers(spark, sf_dir)
+    words = bench.select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("answer"))
+    hints = words.join(D.small(answers), "answer").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.lit("exact").alias("kind"), F.col("answer").alias("candidate")))).alias("evidence"))
+    named = [r.answer for r in answers.where("answer_ord <= 5").orderBy("answer_ord").collect()]
+    rows = bench.select("item_id", "text").join(hints, "item_id", "left")
+    rows = rows.withColumn("evidence", F.coalesce("evidence", F.array().cast("array<struct<kind:string,candidate:string>>")))
+    asked = rows.select("item_id", P.judge_request("Judge.", named, F.col("text"), F.col("evidence")).alias("r"))
+    system = F.array_join(F.transform("r.system", lambda s: F.concat_ws("|", s["text"], s["cached"].cast("string"))), "|")
+    return asked.select("item_id", F.md5(F.concat_ws("|", system, F.array_join("r.user", "|")).cast("binary")).alias("request"))
+
+
 QUERIES = {f.__name__: f for f in (
     recent_context, fragment_join, backlog_latest, hot_gate, suspicious_turns, strike_fold, change_dedupe, latest_versions, alert_rollup, label_counts,
     threshold_at_budget, rates, group_breakdown, curve, latency_percentiles, eval_percentiles, eval_summary, token_cost, pair_sweep, grouped_split,
     leak_filter, missing_dates, attempt_normalize, outcome_tally, top_recent, detector_report, bootstrap_ci, style_plan, systematic_pairs,
+    false_positives, pass_through, ledger, word_sample, batch_rejoin, judge_requests,
 )}
 
 _EV = "ev AS (SELECT user_id AS user, event_id AS id, epoch_us(ts) // 1000 AS ms, ts, event_type, value FROM events)"
@@ -277,7 +329,17 @@ ORACLES = {
       SELECT count(*) AS cases, count(*) FILTER (WHERE label <> 'benign') AS attacks, count(*) FILTER (WHERE label <> 'benign' AND NOT score > 0.8) AS missed, count(*) FILTER (WHERE label = 'benign' AND score > 0.8) AS false_deletions,
         count(*) FILTER (WHERE id % 7 = 0) AS incomplete, count(*) FILTER (WHERE label <> 'benign' AND score > 0.8) / count(*) FILTER (WHERE label <> 'benign') AS recall,
         max(score) FILTER (WHERE r = ceil(n * 0.5)) AS p50, max(score) FILTER (WHERE r = ceil(n * 0.95)) AS p95 FROM k""",
-    "token_cost": "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 11 = 0 THEN NULL ELSE ((c_custkey % 1000) * 1.0::DOUBLE + (c_custkey % 77) * 5.0::DOUBLE + (c_custkey % 13) * 0.1::DOUBLE + (c_custkey % 3) * 1.25::DOUBLE) / 1e6 END AS cost FROM customer",
+    "token_cost": """SELECT c_custkey AS id, CASE WHEN c_custkey % 5 IN (0, 2) OR c_custkey % 7 = 0 THEN NULL ELSE ((c_custkey % 1000) * 1.0::DOUBLE + (c_custkey % 77) * 5.0::DOUBLE + (c_custkey % 13) * 0.1::DOUBLE
+      + CASE WHEN c_custkey % 11 = 0 THEN 0 ELSE c_custkey % 3 END * 1.25::DOUBLE + (c_custkey % 2) * 2.0::DOUBLE) / 1e6 END AS cost FROM customer""",
+    "false_positives": f"WITH {_OUT} SELECT id, label, style FROM o WHERE label <> 'direct' AND score > 0.8",
+    "pass_through": f"WITH {_OUT} SELECT l AS label, count(o.id) AS n, count(o.id) FILTER (WHERE NOT score > 0.8) AS passed FROM unnest(['direct', 'strong_hint', 'weak_hint', 'benign']) AS u(l) LEFT JOIN o ON o.label = l GROUP BY 1",
+    "ledger": f"""WITH {Q.ANSWERS_SQL}, {Q.ACCEPTED_SQL}, x AS ({Q._MADE_ATTACKS}), c AS (SELECT x.true_ord, disguise, true_ord % 3 <> 0 AS closed, coalesce(a.answer_ord = true_ord, false) AS caught FROM x LEFT JOIN accepted a ON token = form)
+      SELECT disguise AS technique, count(*) AS total, count(*) FILTER (WHERE caught) AS caught, count(*) FILTER (WHERE closed AND NOT caught) AS lost, count(*) FILTER (WHERE NOT closed AND caught) AS won FROM c GROUP BY 1""",
+    "word_sample": f"WITH {Q.ANSWERS_SQL} SELECT answer AS word FROM answers ORDER BY md5(answer || ':7'), answer LIMIT 20",
+    "batch_rejoin": f"WITH {Q.ANSWERS_SQL} SELECT answer || '-' || t AS custom_id, answer AS word, t AS template, reverse(answer) AS text FROM answers, unnest(['riddle', 'rhyme']) AS u(t)",
+    "judge_requests": f"""WITH {Q.ANSWERS_SQL}, {Q.ACCEPTED_SQL}, n AS (SELECT string_agg(upper(answer), ', ' ORDER BY answer_ord) AS n FROM answers WHERE answer_ord <= 5),
+      t AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark), e AS (SELECT item_id, string_agg('exact: ' || w, chr(10) ORDER BY w) AS e FROM t JOIN answers ON w = answer GROUP BY 1)
+      SELECT b.item_id, md5('Judge.|true|Protected answers: ' || n || '.|false|' || text || coalesce('|Evidence:' || chr(10) || e, '')) AS request FROM benchmark b LEFT JOIN e USING (item_id), n""",
     "pair_sweep": f"""WITH {Q.ANSWERS_SQL}, {Q.SEEN_SQL}, {Q.EXACT_SQL}, {Q.INFLECT_SQL}, f AS (SELECT DISTINCT form, answer_ord FROM (SELECT form, answer_ord FROM exact UNION ALL SELECT form, answer_ord FROM inflected)),
       b AS (SELECT d.doc_id, d.lang FROM documents d JOIN labels l USING (doc_id) WHERE toxic = 0), h AS (SELECT DISTINCT b.doc_id, lang, answer_ord FROM b JOIN seen s ON s.doc_id = b.doc_id JOIN f ON s.token = f.form)
       SELECT lang, (SELECT count(*) FROM b x WHERE x.lang = b.lang) * (SELECT count(*) FROM answers) AS pairs, (SELECT count(*) FROM h WHERE h.lang = b.lang) AS flagged FROM b GROUP BY lang""",
