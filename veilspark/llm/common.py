@@ -37,6 +37,8 @@ class _Folder:
 
 
 _folders: dict[str, _Folder] = {}
+#: Staged tables that are still there, by path, in the order they were made.
+staged: dict[str, SparkSession] = {}
 
 
 def _sweep(root: str) -> None:
@@ -58,14 +60,20 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    staged[path] = spark
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Drop a staged table that no later plan reads."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        _Folder(df.sparkSession, path).delete()
+def unstage(*frames: DataFrame) -> None:
+    """Drop staged tables that no later plan reads."""
+    for df in frames:
+        if path := getattr(df, "_staged_path", None):
+            free(path)
+
+
+def free(path: str) -> None:
+    if spark := staged.pop(path, None):
+        _Folder(spark, path).delete()
 
 
 def slices(parts: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, slices, stage, text_key
+from .common import components, slices, stage, text_key, unstage
 
 #: Words of an n-gram, least similarity, recall wanted at it, hash functions at most.
 WORDS, SIMILARITY, RECALL, HASHES = 5, 0.8, 0.9999, 192
@@ -215,10 +215,12 @@ def classes(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, rec
     over = components(seen.where("big").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "id", "root": "over"})
     links = seen.groupBy("id").agg(F.min("root").alias("low"), F.sum("links").alias("links")).join(over, "id", "left")
     links = links.select("id", F.coalesce("over", "low").alias("root"), "links")
-    return stage(signed.drop("bands").join(links, "id", "left").select(
+    found = stage(signed.drop("bands").join(links, "id", "left").select(
         "key", "id", "doc_id", "copies", F.coalesce("root", "id").alias("root"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"),
     ))
+    unstage(signed, near, sizes, seen)
+    return found
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
