@@ -26,11 +26,10 @@ def exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.min(F.struct("answer_ord", "answer", "token")).alias("h")).select("doc_id", "h.answer_ord", "h.answer", "h.token")
 
 
-def _matcher(rule, fuzzy: bool):
+def _matcher(rule):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         vocab = _vocab(spark, sf_dir)
-        tokens = M.unlisted(vocab, D.dictionary(vocab)) if fuzzy else vocab
-        return rule(tokens, D.benchmark_answers(spark, sf_dir)).select("token", "n_docs", "answer_ord", "answer")
+        return rule(M.unlisted(vocab, D.dictionary(vocab)), D.benchmark_answers(spark, sf_dir)).select("token", "n_docs", "answer_ord", "answer")
 
     query.__doc__ = rule.__doc__
     return query
@@ -141,9 +140,9 @@ def unflipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "exact_hits": exact_hits, "normalize_ascii": normalized, "tokens": token_counts, "letter_keys": letter_keys, "unflip": unflipped,
     "exact_forms": _forms(D.exact_forms), "inflection_forms": _forms(D.inflections), "caesar_forms": _forms(D.caesar_forms), "key_forms": _forms(D.key_forms),
-    "anagram_hits": _matcher(M.anagram, True), "damerau_hits": _matcher(M.typo, True), "dedupe_hits": _matcher(M.undoubled, True),
-    "skeleton_hits": skeleton_hits, "interleave_hits": _matcher(M.interleaved, True), "caesar_hits": _matcher(M.caesar, True),
-    "substring_hits": substring_hits, "wildcard_hits": _matcher(M.wildcard, False), "leet_hits": _disguised(M.leet),
+    "anagram_hits": _matcher(M.anagram), "damerau_hits": _matcher(M.typo), "dedupe_hits": _matcher(M.undoubled),
+    "skeleton_hits": skeleton_hits, "interleave_hits": _matcher(M.interleaved), "caesar_hits": _matcher(M.caesar),
+    "substring_hits": substring_hits, "wildcard_hits": _disguised(M.wildcard), "leet_hits": _disguised(M.leet),
     "visual_pair_hits": _disguised(M.looked_alike), "attack_sweep": attack_sweep,
 }
 
@@ -274,14 +273,14 @@ ORACLES = {
     "skeleton_hits": f"""WITH {ANSWERS_M}, {VOCAB_M}, s AS MATERIALIZED (SELECT answer_ord, answer, regexp_replace(answer, '[aeiou]', '', 'g') AS k FROM answers),
         m AS (SELECT DISTINCT k AS token, 0 AS n_docs FROM s ANTI JOIN words ON k = word WHERE answer_ord % 3 = 0)
         SELECT {_HIT} FROM (SELECT token, n_docs FROM loose UNION ALL SELECT * FROM m) JOIN s ON token = k WHERE length(token) >= 3""",
-    "interleave_hits": f"""WITH {ANSWERS_SQL}, {VOCAB_SQL}, {ACCEPTED_SQL} SELECT DISTINCT {_HIT} FROM loose JOIN accepted
-        ON form = {_EVERY.format(1)} OR form = {_EVERY.format(2)} WHERE length(token) BETWEEN 2 * length(answer) - 1 AND 2 * length(answer) + 1""",
+    "interleave_hits": f"""WITH {ANSWERS_M}, {VOCAB_M}, {ACCEPTED_SQL}, t AS MATERIALIZED (SELECT token, n_docs, unnest([{_EVERY.format(1)}, {_EVERY.format(2)}]) AS k FROM loose)
+        SELECT DISTINCT {_HIT} FROM t JOIN accepted ON form = k WHERE length(token) BETWEEN 2 * length(answer) - 1 AND 2 * length(answer) + 1""",
     "caesar_hits": f"WITH {ANSWERS_SQL}, {VOCAB_SQL}, c AS (SELECT DISTINCT answer_ord, answer, form FROM ({_CAESAR})) SELECT {_HIT} FROM loose JOIN c ON token = form",
     # answers have five letters
     "substring_hits": f"""WITH {ANSWERS_M}, {VOCAB_M}, w AS MATERIALIZED (SELECT token, n_docs FROM vocab ANTI JOIN words ON token = word WHERE regexp_full_match(token, '[a-z]{{6,}}')),
         p AS MATERIALIZED (SELECT DISTINCT token, n_docs, unnest(list_transform(range(1, length(token) - 3), lambda i: substr(token, i, 5))) AS answer FROM w)
         SELECT {_HIT} FROM p JOIN answers USING (answer)""",
-    "wildcard_hits": f"""WITH {ANSWERS_SQL}, {VOCAB_SQL} SELECT {_HIT} FROM vocab JOIN answers ON length(token) = length(answer)
+    "wildcard_hits": f"""WITH {ANSWERS_SQL}, {VOCAB_SQL}, {MADE_SQL} SELECT {_HIT} FROM (SELECT token, n_docs FROM vocab UNION ALL SELECT * FROM made) JOIN answers ON length(token) = length(answer)
         AND len(list_filter(range(1, length(answer) + 1), lambda i: regexp_matches(token[i], '[a-z]') AND token[i] <> answer[i])) = 0
         WHERE length(regexp_replace(token, '[^a-z]', '', 'g')) >= 3 AND regexp_matches(token, '[^a-z]')""",
     "leet_hits": f"WITH {_LEET_SQL} SELECT DISTINCT {_HIT} FROM v JOIN accepted ON s = form WHERE i = length(token) AND regexp_full_match(s, '[a-z]+')",

@@ -21,7 +21,7 @@ def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_join_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers split over neighbouring tokens."""
+    """Answers split over neighbouring tokens: joined runs that are an accepted form, look-alikes read too (wildcards, digits and shifts over joined runs are the whole detector's)."""
     return S.split_words(_read(spark, sf_dir), D.benchmark_answers(spark, sf_dir)).select("doc_id", "pos", F.col("n").cast("int").alias("n"), "joined", "answer_ord", "answer")
 
 
@@ -232,9 +232,10 @@ ORACLES = {
       e AS (SELECT doc_id, i - 1 AS pos, n, array_to_string(p[i:i + n - 1], '') AS joined FROM p, unnest(range(1, len(p) + 1)) AS u(i), unnest(range(2, 13)) AS v(n) WHERE i + n - 1 <= len(p)),
       f AS (SELECT doc_id, pos, n, joined, joined AS v FROM e WHERE length(joined) <= 8 UNION SELECT doc_id, pos, n, joined, {_ALIKE} FROM e WHERE length(joined) <= 8)
       SELECT DISTINCT doc_id, CAST(pos AS INTEGER) AS pos, CAST(n AS INTEGER) AS n, joined, answer_ord, answer FROM f JOIN accepted ON v = form""",
-    "boundary_hits": f"""WITH {_A}, {_READ}, x AS (SELECT doc_id, array_to_string(ws, '') AS flat, list_transform(range(1, len(ws)), lambda i: CAST(list_sum(list_transform(ws[1:i], lambda z: length(z))) AS BIGINT)) AS b
-        FROM rd),
-      y AS (SELECT doc_id, flat, unnest(b) AS b FROM x) SELECT DISTINCT doc_id, answer_ord, answer FROM y, unnest(range(1, 5)) AS u(k) JOIN answers ON substr(flat, b - k + 1, 5) = answer WHERE b - k + 1 >= 1""",
+    "boundary_hits": f"""WITH {_A}, {_READ}, w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM rd),
+      s AS (SELECT doc_id, i, right(concat(lag(w, 4) OVER o, lag(w, 3) OVER o, lag(w, 2) OVER o, lag(w) OVER o), 4) AS l, left(concat(w, lead(w) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o), 4) AS r
+        FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+      SELECT DISTINCT doc_id, answer_ord, answer FROM (SELECT doc_id, substr(l || r, length(l) - k + 1, 5) AS piece FROM s, unnest(range(1, 5)) AS u(k) WHERE i > 1 AND k <= length(l)) JOIN answers ON piece = answer""",
     "line_initial_hits": f"""WITH {_A}, {_READ}, {Q.ACCEPTED_SQL}, b AS (SELECT doc_id, lines FROM rd UNION ALL
         SELECT -answer_ord, list_transform(string_split(CASE WHEN answer_ord % 2 = 0 THEN answer ELSE 'x' || answer END, ''), lambda c: c || 'ome words') FROM answers),
       s AS (SELECT doc_id, array_to_string(list_transform(lines, lambda x: coalesce(regexp_extract(x, '[a-z]'), '')), '') AS stream FROM b WHERE len(lines) >= 3) {_IN_STREAM}""",
