@@ -243,6 +243,26 @@ def test_secret_spans():
     assert secrets.scan("plain prose without anything, 1234 and some more words.", field) == []
 
 
+def test_base_spans_of_the_table(spark):
+    """Counts and digests of every document against the contract's patterns, match by match; the field's spans come on top."""
+    sf = "/root/testdata/sf0.01"  # the smallest tables hold no secret
+    kinds = {
+        "assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+        "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    }
+    texts, some = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}, 0
+    for r in secrets.op4_secrets(spark, sf).collect():
+        found = [(m.start(), i, f"{kind}:{m.start()}:{m.end()}") for i, (kind, (form, fit)) in enumerate(kinds.items()) for m in form.finditer(texts[r.doc_id] or "") if fit(m)]
+        base = [x for *_, x in sorted(found)]
+        some += len(base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(kind) for x in base) for kind in kinds)
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert [x for x in spans if not x.startswith("crf")] == base and spans == sorted(spans, key=lambda x: int(x.split(":")[1]))
+        assert all(0 <= int(x.split(":")[1]) < int(x.split(":")[2]) <= len(texts[r.doc_id]) for x in spans)
+    assert some > 20
+
+
 def test_field_decodes_the_best_path():
     field = secrets.train()
     rng = random.Random(77)
@@ -336,6 +356,10 @@ def test_media_round_trip(spark, sf):
         raw = texts[r.doc_id].encode()
         payload = raw + bytes(max(1, -(-len(raw) // 64)) * 64 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        fmt = struct.pack("<HHIIHH", 1, 1, 8000, 8000, 1, 8)  # PCM, mono, 8 bits
+        held = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(payload)) + payload
+        assert (r.media_bytes, r.media_sha256) == (len(held), hashlib.sha256(held).hexdigest())
+        assert r.feature == f"wav;corrected=1;rate=8000;samples={len(payload)};sum={sum(payload)};carved="
 
 
 # --- BPE
@@ -356,6 +380,18 @@ def test_bpe_equals_the_library():
     assert list(tool.offsets(got[-1])) == list(np.cumsum([0, *map(len, own.decode_tokens_bytes(got[-1]))]))
 
 
+def test_bpe_digests_of_the_table(spark, sf):
+    import public_tokenizers as P
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.codec(P.path("byte_bpe_50k.tiktoken")).ranks, special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in bpe.op6_bpe(spark, sf).collect():
+        ids = own.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 # --- lines
 
 
