@@ -76,6 +76,17 @@ def test_clashing_names(spark):
     assert ngrams.keep_one(docs).columns == docs.columns and ngrams.keep_one(docs).count() == 1
     assert lines.drop_repeats(docs).columns == docs.columns
     assert mixing.apply_mix(docs).columns == docs.columns
+    odd = docs.toDF("doc_id", "text", "source", "__copies", "n_tokens").withColumns({"a.b": F.lit(1), "found": F.lit(2), "__n": F.lit(3), "__text": F.lit(4), "media": F.lit(5)})
+    assert mixing.apply_mix(odd).columns == odd.columns and mixing.apply_mix(odd).count() >= 0
+    keep = ["doc_id", "a.b", "found", "n_tokens", "__text", "media"]
+    import public_tokenizers as P
+
+    assert bpe.encode(odd, P.path("byte_bpe_50k.tiktoken"), keep, ids=False).columns == ["doc_id", "a.b", "found", "__text", "media", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert [r.n_tokens > 3 for r in bpe.encode(odd, P.path("byte_bpe_50k.tiktoken"), keep).collect()] == [True, True]
+    assert secrets.find_secrets(odd, keep).columns == ["doc_id", "a.b", "n_tokens", "__text", "media", "found"] and [r.found for r in secrets.find_secrets(odd, keep).collect()] == [[], []]
+    assert media.store_texts(odd, keep).columns == ["doc_id", "a.b", "found", "n_tokens", "__text", "n_bytes", "media"] and [r["a.b"] for r in media.store_texts(odd, keep).collect()] == [1, 1]
+    twice = spark.createDataFrame([(1, "one two three four five six", i) for i in (3, 1, 2)], "doc_id long, text string, extra int")
+    assert {tuple(ngrams.keep_one(twice.orderBy(order)).collect()) for order in ("extra", F.desc("extra"))} == {tuple(ngrams.keep_one(twice).collect())}
 
 
 # --- mixing

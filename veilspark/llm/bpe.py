@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices
+from .common import fed, kept, slices
 
 # Classes of code points that the pre-tokeniser tells apart. White space before a
 # visible character and a closing apostrophe are told from what follows.
@@ -269,21 +269,22 @@ def batches(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], ids: bool = True) -> DataFrame:
-    """``keep`` columns of ``docs`` with n_tokens, ids_sha256, decoded_sha256 and, if asked, ids and offsets.
+    """``keep`` columns of ``docs`` (but any of the new names) with n_tokens, ids_sha256, decoded_sha256 and, if asked, ids and offsets.
 
     ``path`` names a rank file every executor can read. Null and empty texts have no tokens. No
     special tokens: their strings are ordinary text. ids_sha256 is of the decimal ids joined by one
     space, decoded_sha256 of the bytes that the ids decode to; ``offsets`` holds each token's first
     byte in the text. Texts are never cut; a text that the ids don't decode to stops the run.
     """
-    schema = docs.select(*keep).schema
+    keep, own_columns = kept(keep, ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "offsets"])
+    schema = docs.select(*own_columns).schema
     for name, kind in [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>"), ("offsets", "array<long>")] * ids:
         schema = schema.add(name, kind if "<" not in kind else __import__("pyspark.sql.types", fromlist=["_"])._parse_datatype_string(kind))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for part in slices(parts):
-            texts = ["" if t is None else t for t in part.column(part.schema.names.index("__text")).to_pylist()]
+            texts = ["" if t is None else t for t in part.column(len(keep)).to_pylist()]
             count, sha_ids, sha_bytes, all_ids, all_offsets = [], [], [], [], []
             for lo, hi in batches(texts):
                 for text, own in zip(texts[lo:hi], tool.encode(texts[lo:hi]), strict=True):
@@ -296,9 +297,9 @@ def encode(docs: DataFrame, path: str, keep: list[str], ids: bool = True) -> Dat
                     if ids:
                         all_ids.append(np.asarray(own, np.int32))
                         all_offsets.append(tool.offsets(own)[:-1])
-            columns = [part.column(i) for i, n in enumerate(part.schema.names) if n != "__text"]
+            columns = [part.column(i) for i in range(len(keep))]
             columns += [pa.array(count, pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_bytes, pa.string())]
-            names = [n for n in part.schema.names if n != "__text"] + ["n_tokens", "ids_sha256", "decoded_sha256"]
+            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
                 ends = pa.array(np.cumsum([0, *map(len, all_ids)]), pa.int32())
                 flat = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((all_ids, np.int32), (all_offsets, np.int64))]
@@ -306,7 +307,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], ids: bool = True) -> Dat
                 names += ["ids", "offsets"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return fed(docs, own_columns).mapInArrow(run, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,17 @@ def row_key(columns: list[str]) -> Column:
     return F.unhex(F.md5(F.concat_ws(",", *parts).cast("binary")))
 
 
+def kept(keep: list[str], new: list[str]) -> tuple[list[str], list[Column]]:
+    """Names to keep and their columns, whatever signs the names hold; those that a result names itself are replaced by it."""
+    names = [c for c in keep if c not in new]
+    return names, [F.col(f"`{c.replace('`', '``')}`") for c in names]
+
+
+def fed(docs: DataFrame, columns: list[Column]) -> DataFrame:
+    """The columns and the text behind them, under plain names, as a map over Arrow batches takes no others."""
+    return docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").alias("text"))
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that ``df`` doesn't use yet."""
     taken = {c.lower() for c in df.columns}

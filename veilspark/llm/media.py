@@ -11,7 +11,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices
+from .common import fed, kept, slices
 
 # Fixed values of the file formats: magic bytes, their place in the file, and the format's name.
 SIGNATURES = [
@@ -319,11 +319,12 @@ def sniff_media(df: DataFrame, content: str, declared: str | None = None) -> Dat
 
 
 def store_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Texts as WAVE samples: ``keep`` columns, n_bytes and media (binary).
+    """Texts as WAVE samples: ``keep`` columns (but any of the new names), n_bytes and media (binary).
 
     A text's UTF-8 bytes (a null text: none) are padded with bytes 0 to a positive multiple of 64.
     """
-    schema = docs.select(*keep).schema.add("n_bytes", "long").add("media", "binary")
+    keep, columns = kept(keep, ["n_bytes", "media"])
+    schema = docs.select(*columns).schema.add("n_bytes", "long").add("media", "binary")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts):
@@ -334,7 +335,7 @@ def store_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
                 names=[*keep, "n_bytes", "media"],
             )
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return fed(docs, columns).mapInArrow(run, schema)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,11 +188,11 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: rows of ``docs`` repeated as often as :func:`mix` says, none if never."""
     name = free_name(docs, "__row_key")
     copies = mix(docs, **options).select(F.col("row_key").alias(name), "copies").where(F.col("copies") > 0)
-    copies = copies.select(name, F.col("copies").alias("__copies"))
     keyed = docs.withColumn(name, row_key(docs.columns)).dropDuplicates([name])
-    joined = keyed.join(copies, name)
-    times = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], times.alias("__n")).drop("__n")
+    count, time = free_name(keyed, "__copies"), free_name(keyed, "__n")
+    joined = keyed.join(copies.withColumnRenamed("copies", count), name)
+    times = F.explode(F.sequence(F.lit(1), F.col(count).cast("int")))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], times.alias(time)).drop(time)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

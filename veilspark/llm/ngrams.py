@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, slices, stage, text_key, unstage
+from .common import components, row_key, slices, stage, text_key, unstage
 
 #: Words of an n-gram, least similarity, recall wanted at it, hash functions at most.
 WORDS, SIMILARITY, RECALL, HASHES = 5, 0.8, 0.9999, 192
@@ -250,8 +250,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     kept = found.join(first, "root").where(F.col("id") == F.col("f.id")).select(F.col("key").alias("__key"), F.col("doc_id").alias("__least"))
     keyed = inner.withColumn("__key", text_key(F.col(text)))
     empty = F.coalesce(F.col(text) == "", F.lit(True))
-    some = keyed.where(~empty).join(kept, "__key").where(F.col(doc_id).eqNullSafe(F.col("__least"))).dropDuplicates(["__key"])
-    return some.select(*inner.columns).unionByName(inner.where(empty)).toDF(*names)
+    some = keyed.where(~empty).join(kept, "__key").where(F.col(doc_id).eqNullSafe(F.col("__least")))
+    # rows equal in id and text may differ elsewhere: the one of the least digest stays
+    one = some.withColumn("__row", row_key(inner.columns)).groupBy("__key").agg(F.min_by(F.struct(*inner.columns), "__row").alias("r"))
+    return one.select("r.*").unionByName(inner.where(empty)).toDF(*names)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices
+from .common import fed, kept, slices
 
 # The base patterns, in their listed order, with the length that a match must have.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -308,7 +308,7 @@ def scan(text: str | None, field: Field) -> list[tuple[int, int, str]]:
 
 
 def find_secrets(docs: DataFrame, keep: list[str], field: Field | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` and found: array of (start, end, kind) over each whole text.
+    """``keep`` columns of ``docs`` (one named found is replaced) and found: array of (start, end, kind) over each whole text.
 
     Starts and ends are code points, ends exclusive. Null and empty texts have none. The field tags what
     the patterns miss; its spans that overlap a base span are left out, base spans always stay.
@@ -316,7 +316,8 @@ def find_secrets(docs: DataFrame, keep: list[str], field: Field | None = None) -
     from pyspark.sql.types import _parse_datatype_string
 
     field = field or train()
-    schema = docs.select(*keep).schema.add("found", _parse_datatype_string("array<struct<start:long,end:long,kind:string>>"))
+    keep, columns = kept(keep, ["found"])
+    schema = docs.select(*columns).schema.add("found", _parse_datatype_string("array<struct<start:long,end:long,kind:string>>"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +325,7 @@ def find_secrets(docs: DataFrame, keep: list[str], field: Field | None = None) -
             found = [[{"start": a, "end": b, "kind": k} for a, b, k in scan(t, field)] for t in part.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found, kind)], names=[*keep, "found"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return fed(docs, columns).mapInArrow(run, schema)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
