@@ -53,32 +53,42 @@ class Lists:
         differences seen, none can be, and bounds need no look.
         """
         near, far = np.where(query > 0, self.most, self.least) * query, np.where(query > 0, self.least, self.most) * query
-        above, below = near.sum(), far.sum()
+        lists = np.argsort(-np.abs(query) * self.spread, kind="stable")
+        span = np.cumsum((near - far)[lists])
+        # before what is unread could be outweighed by all that is read: these lists are read at once
+        first = int(np.searchsorted(2 * span, span[-1])) if len(lists) else 0
         live = np.flatnonzero(np.arange(self.n) != own)
-        seen, read = np.zeros(len(live), self.rows.dtype), 0
-        for j in np.argsort(-np.abs(query) * self.spread, kind="stable"):
+        seen = (query[lists[:first]] @ self.columns[lists[:first]])[live]
+        above, below, read = near[lists[first:]].sum(), far[lists[first:]].sum(), first * self.n
+        for j in lists[first:]:
             if len(live) <= RESOLVED * k:
                 break
             above, below = above - near[j], below - far[j]
             value = query[j] * self.columns[j][live]
-            if query[j] and above - below < seen.max() - seen.min():
-                place = self.rank[live, j]
-                for piece in range(1, PIECES):
-                    depth = -(-self.n * piece // PIECES)
-                    at = self.order[self.n - depth, j] if query[j] > 0 else self.order[depth - 1, j]
-                    known = place >= self.n - depth if query[j] > 0 else place < depth
-                    low = seen + np.where(known, value, far[j]) + below
-                    kept = seen + np.where(known, value, query[j] * self.rows[at, j]) + above >= np.partition(low, len(low) - k)[len(low) - k]
-                    if np.count_nonzero(kept) <= RESOLVED * k:
-                        return live[kept], read + depth
-            seen = seen + value
+            before, seen = seen, seen + value
             read += self.n
-            if above - below < seen.max() - seen.min():
-                low = np.partition(seen, len(seen) - k)[len(seen) - k] + below
-                kept = seen + above >= low
-                live, seen = live[kept], seen[kept]
+            if above - below >= seen.max() - seen.min():
+                continue
+            kept = seen + above >= np.partition(seen, len(seen) - k)[len(seen) - k] + below
+            if np.count_nonzero(kept) <= RESOLVED * k:
+                return self.sooner(query, j, live, before, value, (above, below, far[j]), k) or (live[kept], read)
+            live, seen = live[kept], seen[kept]
         return live, read
 
+    def sooner(self, query, j, live, before, value, unread, k) -> tuple[np.ndarray, int] | None:
+        """The stop within the last list, if a part of it suffices: rows not met yet are bounded by the frontier."""
+        place, (above, below, far) = self.rank[live, j], unread
+        whole = (np.flatnonzero(np.argsort(-np.abs(query) * self.spread, kind="stable") == j)[0]) * self.n
+        for piece in range(1, PIECES):
+            depth = -(-self.n * piece // PIECES)
+            at = self.order[self.n - depth, j] if query[j] > 0 else self.order[depth - 1, j]
+            known = place >= self.n - depth if query[j] > 0 else place < depth
+            low = before + np.where(known, value, far) + below
+            kept = before + np.where(known, value, query[j] * self.rows[at, j]) + above >= np.partition(low, len(low) - k)[len(low) - k]
+            if np.count_nonzero(kept) <= RESOLVED * k:
+                return live[kept], int(whole + depth)
+        return None
+
 
 def nra(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int):
     """The k best (score, then smaller id) of ``rows`` for each query: (query, row, score) arrays, and the list entries read.
