@@ -17,6 +17,8 @@ from .common import slices
 SAMPLE, SUPPORT = 9000, 3
 #: Rounds of the fit, and size of the soft threshold against a gradient's greatest noise among all terms.
 ROUNDS, NOISE = 150, 1.0
+#: Entries of the sparse matrix that are looked at a time.
+GATHERED = 1 << 17
 #: Buckets of the hash, rank of the interactions, distinct words a worker remembers.
 BUCKETS, RANK, WORDS = 1 << 28, 8, 200_000
 THRESHOLD = 0.7
@@ -87,6 +89,7 @@ class _Sparse:
 
     def __init__(self, row: np.ndarray, column: np.ndarray, rows: int, columns: int):
         self.shape = rows, columns
+        row, column = row.astype(np.int32), column.astype(np.int32)
         order = np.argsort(row, kind="stable")
         self.by_row = column[order], *_starts(row[order])
         order = np.argsort(column, kind="stable")
@@ -101,8 +104,12 @@ class _Sparse:
     @staticmethod
     def _sums(m: np.ndarray, of: np.ndarray, filled: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
         out = np.zeros((size, *m.shape[1:]), np.float32)
-        if len(of):
-            out[filled] = np.add.reduceat(m[of], begin, axis=0)
+        # some rows or columns at a time, so that what is gathered of ``m`` stays small
+        edges = np.append(np.unique(np.searchsorted(begin, np.arange(0, len(of), GATHERED))), len(begin))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            a, b = begin[lo], begin[hi] if hi < len(begin) else len(of)
+            if b > a:
+                out[filled[lo:hi]] = np.add.reduceat(m[of[a:b]], begin[lo:hi] - a, axis=0)
         return out
 
 
@@ -124,7 +131,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = RANK, rounds: in
     prior = (labels.sum() + 0.5) / (n + 1.0)
     if not n or labels.min() == labels.max():
         return Machine(np.empty(0, np.int64), float(np.log(prior / (1 - prior))), np.empty(0), np.empty((0, rank)))
-    flat = np.concatenate(rows)
+    flat = np.concatenate(rows).astype(np.int64)
     at_row = np.repeat(np.arange(n), [len(r) for r in rows])
     terms, at = np.unique(flat, return_inverse=True)
     fit_ = np.bincount(at, minlength=len(terms)) >= SUPPORT
@@ -204,8 +211,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     one = both.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
     got = one.select("doc_id", "text", "toxic").mapInArrow(hashed, "doc_id long, toxic int, terms array<int>").toArrow()
-    got = got.sort_by("doc_id")
-    return fit([np.asarray(r, np.int64) for r in got.column("terms").to_pylist()], np.asarray(got.column("toxic").to_pylist(), float))
+    got = got.sort_by("doc_id").combine_chunks()
+    if not got.num_rows:
+        return fit([], np.empty(0))
+    terms = got.column("terms").combine_chunks()
+    terms = terms.chunk(0) if isinstance(terms, pa.ChunkedArray) else terms
+    cuts = terms.offsets.to_numpy()
+    flat = terms.values.to_numpy(zero_copy_only=False)[cuts[0] : cuts[-1]]
+    labels_ = got.column("toxic").to_numpy().astype(float)
+    del got
+    return fit(np.split(flat, cuts[1:-1] - cuts[0]), labels_)
 
 
 def score(docs: DataFrame, model: Machine, keep: list[str]) -> DataFrame:
