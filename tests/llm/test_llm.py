@@ -537,6 +537,26 @@ def test_line_dedup_among_lines_that_share_a_passage(spark):
     assert removed <= gone and len(removed) >= 0.9 * len(gone) and len(gone) >= 390
 
 
+def test_line_dedup_finds_every_pair_among_lines_that_share_a_passage(spark):
+    """Lines of up to 23 words whose shared runs are of a passage that a crowd shares, and near lines of a leader's line: no bucket costs a link."""
+    rng, docs = random.Random(11), []
+    passage = [f"p{i}" for i in range(7)]
+    for i in range(500):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(13)]
+        new = list(own)
+        for k in (0, 3, 6, 9):
+            new[k] = f"v{rng.randrange(10**6)}"
+        docs += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + new))]
+    # a chain: each is near the one before it only, all share the passage
+    chain = passage + [f"c{i}" for i in range(13)]
+    for i in range(4):
+        docs.append((2000 + i, " ".join(chain)))
+        chain[8 + 3 * i : 11 + 3 * i] = [f"d{i}{k}" for k in range(3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    gone = {i for i, _ in brute_lines(docs)}
+    assert {r.doc_id for r in lines.dedup_lines(frame).collect() if r.n_removed} == gone and len(gone) == 503
+
+
 # --- chat
 
 
