@@ -723,3 +723,15 @@ def test_components(spark):
     got = dict(common.components(spark.createDataFrame(edges, "a string, b string")).collect())
     assert set(got.values()) == {"000", "x"} and len(got) == 63
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pipeline_drops_every_near_line_of_a_crowd(spark, sf):
+    """The stage of line dedup, where near lines share runs of words with a crowd only: the later document of each pair goes, no other."""
+    rng, docs = random.Random(12), []
+    passage = [f"p{i}" for i in range(7)]
+    for i in range(120):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(13)]
+        new = [f"v{rng.randrange(10**6)}" if k in (0, 3, 6, 9) else w for k, w in enumerate(own)]
+        docs += [(2 * i + n, " ".join(passage + x), "en", "a", 1) for n, x in enumerate((own, new))]
+    kept = corpus_pipeline.line_dedup(spark, spark.createDataFrame(docs, DOCS), sf).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 240, 2))
