@@ -557,6 +557,20 @@ def test_line_dedup_finds_every_pair_among_lines_that_share_a_passage(spark):
     assert {r.doc_id for r in lines.dedup_lines(frame).collect() if r.n_removed} == gone and len(gone) == 503
 
 
+def test_line_dedup_looks_once_at_each_open_pair_of_a_crowd(spark, monkeypatch):
+    """Lines of 60 and 50 words of a passage, two of them their own: equal lengths are near (4 edits of 12 or 10), others are not (14 of 12)."""
+    rng = random.Random(13)
+    passage = rng.sample(range(10**8), 60)
+    crowd = [[rng.randrange(10**8, 10**9) if k in (n % 25, n % 25 + 25) else w for k, w in enumerate(passage[: 60 - n % 2 * 10])] for n in range(100)]
+    ties = spark.createDataFrame([(n, 1, 1000) for n in range(100)], "id long, h long, root long")
+    words = spark.createDataFrame(list(enumerate(crowd)), "id long, hashes array<int>")
+    monkeypatch.setattr(type(words), "distinct", lambda frame: frame)
+    met = collections.Counter(tuple(r) for r in lines._others(ties, spark.createDataFrame([], "node long, root long"), words, 0.8).collect())
+    near = {(n, m) for n in range(100) for m in range(n) if n % 2 == m % 2}
+    assert set(met.values()) == {1} and near <= set(met)
+    assert len(met) - len(near) < 0.3 * 50 * 50
+
+
 # --- chat
 
 
