@@ -361,6 +361,16 @@ def test_containers_end_where_they_end(spark):
     assert media._flac(flac(4, True) + b"rest", 0) == ("flac", len(flac(4, True))) and media._pdf(pdf + b"\n" + pdf, 0) == ("pdf", len(pdf)) and media._zip(outer + b"PK", 0) == ("zip", len(outer))
 
 
+def test_media_passes_no_value_between_workers(spark, sf):
+    plan = media.op5_media(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    apart = media.sniff_media(media.store_texts(docs, ["doc_id"]), "media").collect()
+    values = {r.doc_id: (r.n_bytes, hashlib.sha256(r.media).hexdigest(), r.media_type, ",".join(f"{c.format}@{c.start}+{c.length}" for c in r.carved)) for r in apart}
+    got = media.op5_media(spark, sf).collect()
+    assert {r.doc_id: (r.n_bytes, r.media_sha256, r.feature.split(";")[0], r.feature.split("carved=")[1]) for r in got} == values
+
+
 def test_media_round_trip(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in media.op5_media(spark, sf).collect():

@@ -289,6 +289,21 @@ def from_wav(data: bytes) -> bytes:
     return data[pos + 8 : pos + 8 + struct.unpack_from("<I", data, pos + 4)[0]]
 
 
+def _sniffed(parts: Iterator[pa.RecordBatch], keep: list[str], content: str, declared: str | None) -> Iterator[pa.RecordBatch]:
+    """What :func:`sniff_media` does to Arrow batches of the columns ``keep``."""
+    kind = pa.list_(pa.struct([("format", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())]))
+    for part in slices(parts):
+        values = part.column(keep.index(content)).to_pylist()
+        said = part.column(keep.index(declared)).to_pylist() if declared else [None] * len(values)
+        got = [sniffed(v, d) for v, d in zip(values, said, strict=True)]
+        inside = [
+            [{"format": f, "start": a, "length": b - a, "sha256": hashlib.sha256(v[a:b]).hexdigest()} for f, a, b in g[2]]
+            for v, g in zip(values, got, strict=True)
+        ]
+        columns = [*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array(inside, kind)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*keep, "media_type", "type_corrected", "carved"])
+
+
 def sniff_media(df: DataFrame, content: str, declared: str | None = None) -> DataFrame:
     """``df`` with media_type, type_corrected and carved (array of format, start, length, sha256).
 
@@ -301,23 +316,24 @@ def sniff_media(df: DataFrame, content: str, declared: str | None = None) -> Dat
     keep = [c for c in df.columns if c not in ("media_type", "type_corrected", "carved")]
     schema = df.select(*[F.col(f"`{c}`") for c in keep]).schema.add("media_type", "string").add("type_corrected", "boolean")
     schema = schema.add("carved", _parse_datatype_string(carved))
-    kind = pa.list_(pa.struct([("format", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(parts):
-            values = part.column(keep.index(content)).to_pylist()
-            said = part.column(keep.index(declared)).to_pylist() if declared else [None] * len(values)
-            got = [sniffed(v, d) for v, d in zip(values, said, strict=True)]
-            inside = [
-                [{"format": f, "start": a, "length": b - a, "sha256": hashlib.sha256(v[a:b]).hexdigest()} for f, a, b in g[2]]
-                for v, g in zip(values, got, strict=True)
-            ]
-            columns = [*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array(inside, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "media_type", "type_corrected", "carved"])
+        return _sniffed(parts, keep, content, declared)
 
     return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
+def _stored(parts: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """What :func:`store_texts` does to Arrow batches of the columns ``keep`` and the text."""
+    for part in slices(parts):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(len(keep)).to_pylist()]
+        media = [to_wav(r + bytes(max(1, -(-len(r) // 64)) * 64 - len(r))) for r in raw]
+        yield pa.RecordBatch.from_arrays(
+            [*part.columns[: len(keep)], pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())],
+            names=[*keep, "n_bytes", "media"],
+        )
+
+
 def store_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Texts as WAVE samples: ``keep`` columns (but any of the new names), n_bytes and media (binary).
 
@@ -327,13 +343,7 @@ def store_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = docs.select(*columns).schema.add("n_bytes", "long").add("media", "binary")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(parts):
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(len(keep)).to_pylist()]
-            media = [to_wav(r + bytes(max(1, -(-len(r) // 64)) * 64 - len(r))) for r in raw]
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[: len(keep)], pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())],
-                names=[*keep, "n_bytes", "media"],
-            )
+        return _stored(parts, keep)
 
     return fed(docs, columns).mapInArrow(run, schema)
 
@@ -342,11 +352,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as 8-bit samples, sniffed, read back and measured.
 
     The values are declared ``unknown``; sniffing corrects that to ``wav`` and carves what the samples
-    hold. feature: type, whether corrected, rate, samples, sum of samples, carved files.
+    hold. All steps of a batch are taken in one Python worker, as values passed between two would lie in both and
+    in the JVM. feature: type, whether corrected, rate, samples, sum of samples, carved files.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stored = store_texts(docs, ["doc_id"])
-    seen = sniff_media(stored.withColumn("declared", F.lit("unknown")), "media", "declared")
     schema = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string"
@@ -355,7 +364,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for part in slices(parts):
+        names = ["doc_id", "n_bytes", "media", "declared"]
+        stored = _stored(parts, names[:1])
+        said = (pa.RecordBatch.from_arrays([*x.columns, pa.array(["unknown"] * x.num_rows, pa.string())], names=names) for x in stored)
+        for part in _sniffed(said, names, "media", "declared"):
             rows = []
             for r in part.to_pylist():
                 data = r["media"]
@@ -369,8 +381,8 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(),
                     "feature": f"{r['media_type']};corrected={int(r['type_corrected'])};rate={rate};samples={len(payload)};sum={total};carved={inside}",
                 })
-            names = [x.split()[0] for x in schema.split(", ")]
+            out = [x.split()[0] for x in schema.split(", ")]
             kinds = [pa.int64() if x.endswith("long") else pa.string() for x in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(out, kinds, strict=True)], names=out)
 
-    return seen.mapInArrow(run, schema)
+    return fed(docs, [F.col("doc_id")]).mapInArrow(run, schema)
