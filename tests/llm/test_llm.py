@@ -361,6 +361,16 @@ def test_containers_end_where_they_end(spark):
     assert media._flac(flac(4, True) + b"rest", 0) == ("flac", len(flac(4, True))) and media._pdf(pdf + b"\n" + pdf, 0) == ("pdf", len(pdf)) and media._zip(outer + b"PK", 0) == ("zip", len(outer))
 
 
+def test_clean_rows_send_each_text_once(spark, odd):
+    model = toxicity.fit([np.array(sorted({toxicity.bucket(w) for w in ("word", x)}), int) for x in "abcd" * 20], np.array([1, 0, 0, 0] * 20, float))
+    kept = toxicity.keep_clean(odd, model)
+    sent = re.search(r"MapInArrow run\((.*?)\)", kept._jdf.queryExecution().analyzed().toString())[1]
+    assert len(sent.split(", ")) == len(odd.columns)
+    scores = toxicity.score(odd, model, ["doc_id", "text", "lang"]).collect()
+    assert [r.score for r in scores] == [r.score for r in toxicity.score(odd, model, ["doc_id", "lang"]).collect()]
+    assert kept.columns == odd.columns and collections.Counter(kept.collect()) == collections.Counter(r for r, s in zip(odd.collect(), scores) if s.score < toxicity.THRESHOLD)
+
+
 def test_media_passes_no_value_between_workers(spark, sf):
     plan = media.op5_media(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1

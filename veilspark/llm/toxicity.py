@@ -228,21 +228,24 @@ def score(docs: DataFrame, model: Machine, keep: list[str]) -> DataFrame:
 
     With few labels no term stands out from chance, and all texts may score the bias. Repeated rows score alike; an empty table gives no rows.
     """
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double")
+    own = [F.col(f"`{c}`") for c in keep]
+    schema = docs.select(*own).schema.add("score", "double")
+    # a text that is kept is not sent twice
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts):
-            rows = [model.terms(t) if t else [] for t in part.column(len(keep)).to_pylist()]
+            rows = [model.terms(t) if t else [] for t in part.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(model.scores(rows), pa.float64())], names=[*keep, "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*own, *[F.col("text").alias("__text")] * (at == len(keep))).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with their own columns only."""
     names = docs.columns
-    inner = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("text", F.col(f"c{names.index('text')}"))
-    kept = score(inner, model, [f"c{i}" for i in range(len(names))]).where(F.col("score") < threshold)
+    inner = docs.toDF(*["text" if i == names.index("text") else f"c{i}" for i in range(len(names))])
+    kept = score(inner, model, inner.columns).where(F.col("score") < threshold)
     return kept.drop("score").toDF(*names)
 
 
