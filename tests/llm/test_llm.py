@@ -71,6 +71,13 @@ def test_pipeline_on_odd_tables(spark, odd_dir, kind):
     assert corpus_pipeline.run(spark, str(odd_dir / kind)).count() >= 0
 
 
+def test_a_stage_gives_the_drivers_free_memory_back(spark, odd, monkeypatch):
+    assert "Trim native heap" in common.give_back(spark)
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", calls.append)
+    assert corpus_pipeline._step(lambda spark, docs, sf_dir: docs)(spark, odd, "") is odd and calls == [spark]
+
+
 def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "one two three four five six seven", "a", 9, "k"), (2, "one two three four five six seven", "a", 8, "m")], "doc_id long, text string, source string, key int, row string")
     assert ngrams.keep_one(docs).columns == docs.columns and ngrams.keep_one(docs).count() == 1
