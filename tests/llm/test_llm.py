@@ -78,6 +78,21 @@ def test_a_stage_gives_the_drivers_free_memory_back(spark, odd, monkeypatch):
     assert corpus_pipeline._step(lambda spark, docs, sf_dir: docs)(spark, odd, "") is odd and calls == [spark]
 
 
+def test_staging_leaves_no_shuffle_files(spark):
+    def files():
+        names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in names.split("\n") if "/shuffle_" in x and x.endswith(".data")}
+
+    before, setting = files(), spark.conf.get(common.DROPS)
+    rows = common.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() <= before and spark.conf.get(common.DROPS) == setting
+    assert sorted(r["count"] for r in rows.collect()) == [142] + [143] * 6
+
+
+def test_lines_are_staged_without_keys(spark, odd):
+    assert "keys" not in lines.occurrences(odd.withColumn("row", F.col("doc_id"))).columns
+
+
 def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "one two three four five six seven", "a", 9, "k"), (2, "one two three four five six seven", "a", 8, "m")], "doc_id long, text string, source string, key int, row string")
     assert ngrams.keep_one(docs).columns == docs.columns and ngrams.keep_one(docs).count() == 1
