@@ -20,7 +20,8 @@ def base64_texts(raw: Column) -> Column:
     raw_bytes = F.transform(whole, lambda r: F.try_to_binary(r, F.lit("base64")))
     valid = F.filter(raw_bytes, lambda b: b.isNotNull() & F.is_valid_utf8(b.cast("string")))
     texts = F.transform(valid, lambda b: b.cast("string"))
-    return F.filter(texts, lambda s: s.rlike(r"^[\p{L}\p{N}\p{P}\p{S}\s]+$"))
+    # white space without the vertical tab, and the text's very end: Java's \s has that tab, its $ stands before a last line break, too
+    return F.filter(texts, lambda s: s.rlike(r"\A[\p{L}\p{N}\p{P}\p{S} \t\n\f\r]+\z"))
 
 
 def number_runs(norm: Column) -> Column:
